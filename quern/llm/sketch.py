@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-#: A paragraph here: within a line, up to eight words, ended early by a sentence's end. Edits leave the others alone.
-PARAGRAPH = re.compile(rb"(?:[^\s.!?]++[ \t\r\f\v]*+){1,8}[.!?]*|[.!?]+")
+#: A paragraph here: within a line, up to four words, ended early by a sentence's end. Edits leave the others alone.
+PARAGRAPH = re.compile(rb"(?:[^\s.!?]++[ \t\r\f\v]*+){1,4}[.!?]*|[.!?]+")
 #: Cells of a fingerprint; a retry has GROWTH times as many at least. Multiples of the three hash functions.
 CELLS, GROWTH = 12, 4
 #: Documents and bytes of text that a task compares at once.
