@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, exact, packing, simhash, sketch
+from . import brown, chat, exact, packing, quality, simhash, sketch
 
 
 def vocabulary(name: str) -> str:
@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, is_held_out = table(spark, sf_dir, "documents"), brown.held_out(F.col("doc_id"), 4, 2)
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), ~is_held_out))
+    return scored.select("doc_id", is_held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"), brown.held_out(F.col("doc_id"), 5, 1))
 
@@ -49,6 +55,7 @@ def op10_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbour_quality": op1_neighbour_quality,
     "op2_brown_score": op2_brown_score,
     "op3_chat_format": op3_chat_format,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
