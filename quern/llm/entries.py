@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, exact, lines, packing, quality, simhash, sketch, urls
+from . import brown, chat, exact, lines, packing, pieces, quality, simhash, sketch, urls
 
 
 def vocabulary(name: str) -> str:
@@ -74,6 +74,12 @@ def op6_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", F.col("fetched_at").cast("string").alias("fetched_at"), "pattern", "action", "kept")
 
 
+def op7_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, model = table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")
+    out = pieces.decode_texts(pieces.encode_texts(docs, model), model)
+    return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_template_line_dedup": op5_template_line_dedup,
     "op6_temporal_url_filter": op6_temporal_url_filter,
+    "op7_streaming_viterbi": op7_streaming_viterbi,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixture_packing": op9_mixture_packing,
     "op10_paragraph_sketch": op10_paragraph_sketch,
