@@ -23,6 +23,7 @@ from quern.sources.tables import IDENTIFIER, AllColumns, Column, Database, Table
 
 _HOLE = re.compile(r"\{\{|\}\}|\{(\w+)\}")
 _TOKENS = re.compile(r"('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/)|(\w+)|(\()|(\))|(\?)|(::)|(:\w+)", re.S)
+_BEFORE_ENTRY, _AFTER_ENTRY = re.compile(r"(?:\bselect|\bdistinct|,)\s*$", re.I), re.compile(r"\s*(?:,|$|\)|from\b)", re.I)
 #: Keywords that start a clause.
 CLAUSES = {"with": "with", "select": "select", "from": "from", "join": "from", "where": "where", "on": "where", "having": "where", "group": "group", "order": "order", "partition": "order", "limit": "limit", "offset": "limit", "union": "start", "intersect": "start", "except": "start", "values": "values", "set": "set", "into": "into", "update": "into"}
 _OPENS_QUERY = {"from", "join", "in", "exists", "lateral", "as", "any", "all", "union", "except", "intersect"}
@@ -50,7 +51,7 @@ class Writer:
         self.clause, self.stack = "start", []
         self.named: dict[int, str] = {}
         self.ctes: set[int] = set()
-        self.last_word, self.taken = "", 0
+        self.last_word, self.taken, self.bare = "", 0, False
         self.item: list[Any] = []
 
     def bind(self, value: Any) -> str:
@@ -132,6 +133,14 @@ class Writer:
         text = f"{quote(alias)}.{quote(c.info.name)}"
         return f"{text} AS {quote(c.name)}" if (self.clause == "select" if named is None else named) else text
 
+    def entry(self, c: Any) -> str:
+        clause = self.clause
+        if clause == "select" and self.bare:
+            self.clause = "where"
+        text = self.part(c)
+        self.clause = clause
+        return text
+
     def query(self, q: Query, form: str | None = None) -> str:
         if form == "inline":
             return q.body(self)
@@ -239,12 +248,14 @@ class Query(Part):
         for m in _HOLE.finditer(self.template):
             out.append(w.literal(self.template[end : m.start()]))
             end = m.end()
+            # a column that is a whole entry of a select list gets its name; one inside an expression doesn't
+            w.bare = not (_BEFORE_ENTRY.search(self.template[: m.start()]) and _AFTER_ENTRY.match(self.template[end:]))
             if m[1] is None:
                 out.append(w.literal(m[0][0]))
             elif m[1] not in self.parts:
                 raise build_error(f"the template names {m[1]!r}, which isn't given")
             else:
-                out.append(w.part(self.parts[m[1]]))
+                out.append(w.part(self.parts[m[1]]) if not isinstance(self.parts[m[1]], (Column, QueryColumn)) else w.entry(self.parts[m[1]]))
         out.append(w.literal(self.template[end:]))
         return "".join(out)
 
