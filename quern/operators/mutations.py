@@ -79,8 +79,10 @@ class InsertPart(Part):
     def write(self, w: Writer) -> str:
         keys, rows = check_rows(self.table, lookup(w.values, self.param))
         columns = "(" + ", ".join(quote(self.table.columns[k].name) for k in keys) + ")"
+        if self.what == "columns":
+            return columns
         values = ", ".join("(" + ", ".join(_write(w, r[k]) for k in keys) + ")" for r in rows)
-        return {"columns": columns, "values": values, "both": f"{columns} VALUES {values}"}[self.what]
+        return values if self.what == "values" else f"{columns} VALUES {values}"
 
 
 def insert(table: Table, param: str = "rows") -> InsertPart:

@@ -81,14 +81,21 @@ def within(spark, seconds: float | None, call: Callable[[], Any]) -> Any:
     """call's result; after seconds, its Spark jobs are cancelled and QUERY_TIMEOUT is raised."""
     if seconds is None:
         return call()
+    sc = spark.sparkContext
     tag, late = f"quern-{uuid.uuid4().hex}", threading.Event()
 
+    done = threading.Event()
+
     def stop() -> None:
+        # again and again: a job may start after a first cancellation, as planning goes on
         late.set()
-        spark.interruptTag(tag)
+        while not done.is_set():
+            sc.cancelJobsWithTag(tag)
+            done.wait(0.3)
 
     timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    sc.addJobTag(tag)
+    sc.setInterruptOnCancel(True)
     timer.start()
     try:
         out = call()
@@ -97,8 +104,10 @@ def within(spark, seconds: float | None, call: Callable[[], Any]) -> Any:
             raise QueryError(ErrorCode.QUERY_TIMEOUT, f"took more than {seconds} s") from e
         raise
     finally:
+        done.set()
         timer.cancel()
-        spark.removeTag(tag)
+        sc.setInterruptOnCancel(False)
+        sc.removeJobTag(tag)
     if late.is_set():
         raise QueryError(ErrorCode.QUERY_TIMEOUT, f"took more than {seconds} s")
     return out

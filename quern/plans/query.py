@@ -349,7 +349,7 @@ class QueryAs(Part):
 
 
 def sql(template: str, **parts: Any) -> Query:
-    columns = next((p.keys() for p in parts.values() if hasattr(p, "keys") and isinstance(p, Part)), None)
+    columns = next((p.keys() for p in parts.values() if isinstance(p, Part) and callable(getattr(p, "keys", None))), None)
     return Query(template, parts, columns=tuple(columns) if columns else None)
 
 
