@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, texts_of
+from .common import LOWER, durable, texts_of
 
 #: Sources with a queue of their own; of more sources, several share a queue by hash.
 QUEUES = 256
@@ -24,13 +24,16 @@ BLOCK = 1 << 19
 QUANTUM = 256
 #: Words that a Python worker remembers the ids of.
 WORDS = 400_000
+#: Bytes of earlier partitions' sums that are broadcast at most; beyond, blocks are joined by a shuffle.
+BROADCAST = 16 << 20
 
 
 @functools.lru_cache(maxsize=2)
 def _word_encoder(path: str):
     """Ids (two bytes each) of lists of words without ASCII white space.
 
-    The vocabulary's splitting rule never crosses white space and drops it, so a text's ids are those of its words.
+    The vocabulary's splitting rule never crosses white space and drops it, and it lower-cases, so a text's ids are
+    those of its words with A-Z lower-cased.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -39,31 +42,65 @@ def _word_encoder(path: str):
     tokenizer.encode_special_tokens = True
     known: dict[bytes, bytes] = {}
 
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+
+    def ids_of(words: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(new: set[bytes]) -> None:
+        """Words of Latin letters, alone or before a stop or comma, are encoded in one go and told apart by their last pieces."""
+        plain: dict[str, list[bytes]] = {}
+        other = []
+        for w in new:
+            word = w.decode()
+            stem = word[:-1] if word[-1] in ".," else word
+            if stem.isalpha() and max(stem) < "\u0250":
+                plain.setdefault(stem, []).append(w)
+            else:
+                other.append(w)
+        stems = list(plain)
+        if stems:
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u2")
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) == len(stems):
+                raw, at = ids.tobytes(), 0
+                for stem, cut in zip(stems, (2 * cuts).tolist()):
+                    for w in plain[stem]:
+                        known[w] = raw[at:cut] + signs.get(w[-1:], b"")
+                    at = cut
+            else:
+                other += [w for ws in plain.values() for w in ws]
+        for w, found in zip(other, ids_of([w.decode() for w in other])):
+            known[w] = np.array(found, "<u2").tobytes()
+
+    signs = {s.encode(): np.array(ids_of([s])[0], "<u2").tobytes() for s in ".,"}
+
     def encode(texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > WORDS:
+        if len(known) > WORDS:
             known.clear()
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u2").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        get = known.get
+        split = [t.translate(LOWER).split() for t in texts]
+        found = [list(map(get, words)) for words in split]
+        new = {w for words, got in zip(split, found) if None in got for w, x in zip(words, got) if x is None}
+        if new:
+            learn(new)
+            found = [list(map(get, words)) if None in got else got for words, got in zip(split, found)]
+        return [b"".join(got) for got in found]
 
     return encode
 
 
-def _runs(texts: list[bytes], most: int = 4 << 20) -> Iterator[list[bytes]]:
-    """texts in runs of about most bytes."""
+def _runs(column, rows: int = 256, most: int = 2 << 20) -> Iterator[list[bytes]]:
+    """A column's texts in runs of about most bytes, few at a time."""
     run, n = [], 0
-    for t in texts:
-        run.append(t)
-        n += len(t)
-        if n >= most:
-            yield run
-            run, n = [], 0
+    for i in range(0, len(column), rows):
+        for t in texts_of(column.slice(i, rows)):
+            run.append(t)
+            n += len(t)
+            if n >= most:
+                yield run
+                run, n = [], 0
     if run:
         yield run
 
@@ -97,7 +134,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text
             arrow_id = b.column(0).type
             ids = iter(b.column(0).to_pylist())
             sources = iter(b.column(2).to_pylist())
-            for texts in _runs(texts_of(b.column(1))):
+            for texts in _runs(b.column(1)):
                 for got in encode(texts):
                     doc, source = next(ids), next(sources) or ""
                     queue = number[source] if number else zlib.crc32(source.encode()) % QUEUES
@@ -206,4 +243,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, m
                 kinds = [b.schema.field("doc_ids").type.value_type, *[pa.int64()] * 5, pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
+    if sums.select("part").distinct().count() * n_queues * 16 <= BROADCAST:
+        earlier = F.broadcast(earlier)
     return blocks.join(earlier, "part").mapInArrow(run, f"doc_id {id_kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
