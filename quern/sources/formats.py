@@ -42,3 +42,12 @@ def as_text(rows: list[dict], columns: list[str], kind: str = "table") -> str:
     width = [max(len(row[i]) for row in cells) for i in range(len(columns))]
     lines = [" | ".join(v.ljust(n) for v, n in zip(row, width)).rstrip() for row in cells]
     return "\n".join([lines[0], "-+-".join("-" * n for n in width), *lines[1:]])
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 1, **properties: str) -> DataFrame:
+    """A table of another database. With a numeric column and its bounds, parts tasks read ranges of it side by side."""
+    if parts > 1 and (column is None or bounds is None):
+        raise build_error("reading in parts needs a column and its bounds")
+    if parts > 1:
+        return spark.read.jdbc(url, table, column=column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts, properties=properties)
+    return spark.read.jdbc(url, table, properties=properties)

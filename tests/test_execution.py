@@ -176,6 +176,30 @@ def test_registry(db):
     assert code_of(lambda: registry.execute(Request(q.hash, mode="odd"))) == ErrorCode.QUERY_NOT_FOUND
 
 
+def test_registry_over_http(db):
+    from quern.plans.http import http_transport, serve
+
+    q = sql("select {k} as k from {t} where {k} = {u}", k=Customer.c.custKey, t=Customer, u=ctx("user"))
+    broken = sql("select secret_column from {t}", t=Customer)
+    registry = QueryRegistry(lambda: db)
+    registry.register(q, broken)
+    server = serve(registry, lambda headers: {"user": int(headers.get("X-User", -1))})
+    thread = threading.Thread(target=server.serve_forever, daemon=True)
+    thread.start()
+    try:
+        url = f"http://127.0.0.1:{server.server_address[1]}/"
+        client = LocalClient(http_transport(url, {"X-User": "4"}))
+        assert client.run(q, mode="one") == {"k": 4} and client.run(q) == [{"k": 4}]
+        assert LocalClient(http_transport(url)).run(q, mode="first") is None
+        assert code_of(lambda: client.run(sql("select 1"))) == ErrorCode.QUERY_NOT_FOUND
+        with pytest.raises(QueryError) as e:
+            client.run(broken)
+        assert e.value.code == ErrorCode.QUERY_FAILED and "secret" not in str(e.value)
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
 Account = Table("account", {"id": ColumnInfo("account_id", T.LongType(), False), "name": ColumnInfo("name"), "status": ColumnInfo("status", default="new", enum=("new", "old")), "tags": ColumnInfo("tags", T.ArrayType(T.StringType()))}, ("id",))
 
 
@@ -307,6 +331,12 @@ def test_formats(spark, tmp_path):
     assert code_of(lambda: as_text(data, ["a"], "odd")) == code_of(lambda: read(spark, "odd", "x")) == ErrorCode.BUILD_FAILED
 
 
+def test_jdbc_needs_bounds(spark):
+    from quern.sources.formats import read_jdbc
+
+    assert code_of(lambda: read_jdbc(spark, "jdbc:x", "t", parts=4)) == ErrorCode.BUILD_FAILED
+
+
 def test_scalars(spark):
     row = spark.range(1).select(scalars.json_object(a=F.lit(1), b=F.lit("x")).alias("j"), scalars.to_number(F.lit("1.5")).alias("n"), scalars.to_number(F.lit("z")).alias("z"), scalars.case([(F.lit(False), 1), (F.lit(True), 2)], 3).alias("c")).first()
     assert row.j == '{"a":1,"b":"x"}' and float(row.n) == 1.5 and row.z is None and row.c == 2
