@@ -15,7 +15,7 @@ SPACE = "▁"
 #: Words whose ids a worker remembers.
 WORDS = 400_000
 #: Pairs of pieces that a worker remembers the verdict on.
-JOINTS = 400_000
+JOINTS = 800_000
 
 
 class Vocabulary:
@@ -38,7 +38,14 @@ class Vocabulary:
         self.splits_at_spaces = not any(SPACE in p[1:] and p.strip(SPACE) for p in self.pieces)
         self.shown = [b"" if model.is_control(i) else None if model.is_byte(i) else " \u2047 ".encode() if model.is_unknown(i) else name.replace(SPACE, " ").encode() for i, name in enumerate(self.names)]
         self.value_of = {i: bytes([b]) for b, i in self.bytes.items()}
-        self._joints: dict[tuple[str, str], bool] = {}
+        #: Two characters that stand side by side in a piece; between others there is a boundary in any case.
+        self.pairs = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
+        #: Length of the longest piece that ends with two given characters.
+        self.reach: dict[str, int] = {}
+        for p in self.pieces:
+            if len(p) > 1:
+                self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 0))
+        self.joints: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """What the merge rules make of a short text: the neighbours whose union scores best become one, the leftmost of equal ones first."""
@@ -53,13 +60,14 @@ class Vocabulary:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def joint(self, left: str, right: str) -> bool:
-        """Whether the merge rules leave the boundary between two pieces alone."""
-        found = self._joints.get((left, right))
+    def joint(self, left: int, right: int) -> bool:
+        """Whether the merge rules leave the boundary between two pieces alone, by their ids."""
+        found = self.joints.get(left << 32 | right)
         if found is None:
-            if len(self._joints) >= JOINTS:
-                self._joints.clear()
-            found = self._joints[left, right] = self.merged(left + right) == [left, right]
+            if len(self.joints) >= JOINTS:
+                self.joints.clear()
+            a, b = self.names[left], self.names[right]
+            found = self.joints[left << 32 | right] = a[-1] + b[0] not in self.pairs or self.merged(a + b) == [a, b]
         return found
 
     def ids_of_unknown(self, char: str) -> list[int]:
@@ -96,8 +104,8 @@ def viterbi(chars: Iterable[str], vocabulary: Vocabulary) -> Iterator[list[int]]
         for start in range(max(base, end - longest), end):
             piece = text[start - base :]
             if piece in pieces:
-                before = last_piece(start)
-                if not before or before not in pieces or joint(before, piece):
+                before = pieces.get(last_piece(start))
+                if before is None or joint(before, pieces[piece]):
                     back[end] = start
                     break
         if end - base >= 2 * longest:
@@ -127,27 +135,28 @@ def viterbi(chars: Iterable[str], vocabulary: Vocabulary) -> Iterator[list[int]]
 
 def within_window(run: str, vocabulary: Vocabulary) -> list[int]:
     """What viterbi() gives for a run that ends before anything is committed, on lists."""
-    longest, pieces, joints, joint = vocabulary.longest, vocabulary.pieces, vocabulary._joints, vocabulary.joint
-    last, start_of = [""], [0]
+    find, joints, joint, reach = vocabulary.pieces.get, vocabulary.joints, vocabulary.joint, vocabulary.reach
+    last, start_of = [-1], [0]  # by position: the id of the path's last piece, or -1 for none in the vocabulary; where it starts
     for end in range(1, len(run) + 1):
-        best, own = end - 1, run[end - 1]
-        for start in range(end - longest if end > longest else 0, end):
-            piece = run[start:end]
-            if piece in pieces:
+        best, own = end - 1, find(run[end - 1], -1)
+        for start in range(max(0, end - reach.get(run[end - 2 : end], 0)) if end > 1 else 0, end - 1):
+            piece = find(run[start:end])
+            if piece is not None:
                 before = last[start]
-                verdict = joints.get((before, piece)) if start else True
-                if verdict is None:
-                    verdict = before not in pieces or joint(before, piece)
-                if verdict:
-                    best, own = start, piece
-                    break
+                if before >= 0:
+                    verdict = joints.get(before << 32 | piece)
+                    if not (joint(before, piece) if verdict is None else verdict):
+                        continue
+                best, own = start, piece
+                break
         last.append(own)
         start_of.append(best)
-    parts, at = [], len(run)
+    out: list[list[int]] = []
+    at = len(run)
     while at:
-        parts.append(last[at])
+        out.append([last[at]] if last[at] >= 0 else vocabulary.ids_of_unknown(run[at - 1]))
         at = start_of[at]
-    return [i for part in reversed(parts) for i in vocabulary.ids(part)]
+    return [i for part in reversed(out) for i in part]
 
 
 def _runs_of(text: str) -> Iterator[str]:
@@ -174,27 +183,41 @@ def encoder(path: str) -> tuple[Vocabulary, Callable[[str], bytes]]:
             return array("I", within_window(run, vocabulary)).tobytes()
         return np.array([i for part in viterbi(run, vocabulary) for i in part], "<u4").tobytes()
 
+    pairs, line_end = vocabulary.pairs, np.array(vocabulary.ids("\n"), "<u4").tobytes()
+
     def word(run: str) -> bytes:
         found = known.get(run)
         if found is None:
-            found = ids(run)
+            cuts = [i for i in range(1, len(run)) if run[i - 1 : i + 1] not in pairs]
+            found = b"".join([word(run[a:b]) for a, b in zip([0, *cuts], [*cuts, len(run)])]) if cuts else ids(run)
             if len(run) <= 64:
                 if len(known) >= WORDS:
                     known.clear()
+                    known[""] = b""
                 known[run] = found
         return found
 
+    def line(text: str) -> bytes:
+        if SPACE + SPACE in text:
+            return b"".join(map(word, _runs_of(text)))
+        parts = text.split(SPACE)
+        runs = [SPACE + p for p in parts]
+        runs[0] = parts[0]
+        return b"".join([known[w] if w in known else word(w) for w in runs])
+
+    known[""] = b""
+
     def encode(text: str) -> bytes:
         if not text:
             return b""
         text = SPACE + text.replace(" ", SPACE)
         if not vocabulary.splits_at_spaces:
             return ids(text)
-        if SPACE + SPACE not in text:
-            parts = text[1:].split(SPACE)
-            return b"".join([known[w] if w in known else word(w) for w in [SPACE + p for p in parts]])
-        return b"".join(map(word, _runs_of(text)))
+        if splits_at_lines:
+            return line_end.join([line(part) for part in text.split("\n")])
+        return line(text)
 
+    splits_at_lines = not any("\n" in p for p in vocabulary.scores)
     return vocabulary, encode
 
 
