@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -28,6 +30,9 @@ WORDS = 400_000
 BROADCAST = 16 << 20
 
 
+_LATIN = re.compile("[a-z\u00aa-\u024f]+")
+
+
 @functools.lru_cache(maxsize=2)
 def _word_encoder(path: str):
     """Ids (two bytes each) of lists of words without ASCII white space.
@@ -55,7 +60,7 @@ def _word_encoder(path: str):
         for w in new:
             word = w.decode()
             stem = word[:-1] if word[-1] in ".," else word
-            if stem.isalpha() and max(stem) < "\u0250":
+            if stem.isalpha() and _LATIN.fullmatch(stem):
                 plain.setdefault(stem, []).append(w)
             else:
                 other.append(w)
@@ -78,15 +83,20 @@ def _word_encoder(path: str):
 
     def encode(texts: list[bytes]) -> list[bytes]:
         if len(known) > WORDS:
-            known.clear()
-        get = known.get
-        split = [t.translate(LOWER).split() for t in texts]
-        found = [list(map(get, words)) for words in split]
-        new = {w for words, got in zip(split, found) if None in got for w, x in zip(words, got) if x is None}
-        if new:
-            learn(new)
-            found = [list(map(get, words)) if None in got else got for words, got in zip(split, found)]
-        return [b"".join(got) for got in found]
+            # the older half goes; words in use come back at their next miss
+            for w in list(itertools.islice(known, WORDS // 2)):
+                del known[w]
+        words, ends_at = [], []
+        for t in texts:
+            words += t.translate(LOWER).split()
+            ends_at.append(len(words))
+        found = list(map(known.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            learn({words[i] for i in missing})
+            for i in missing:
+                found[i] = known[words[i]]
+        return [b"".join(found[a:b]) for a, b in zip([0, *ends_at], ends_at)]
 
     return encode
 
