@@ -103,7 +103,12 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "qua
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("double").alias("y")).where(may_learn).where("doc_id IS NOT NULL AND y IS NOT NULL")
     known = known.groupBy("doc_id").agg((F.avg("y") > 0.5).cast("int").alias("y"))
     there = docs.select(F.col(id_col).alias("doc_id"))
-    chosen = known.join(there, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = known.join(there, "doc_id", "left_semi")
+    n = known.count()
+    if n > sample:
+        # the least hashes lie below this, so that each task sorts and sends few
+        known = known.where(F.xxhash64("doc_id") < F.lit(min(2**63 - 1, int(-(2**63) + 2**64 * (1.1 * sample / n)))))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
