@@ -65,3 +65,13 @@ def test_crowded_buckets_keep_near_copies(spark, monkeypatch):
     got = {r.doc_id: r.root for r in nearcopies.near_copies(table(spark, list(enumerate(texts)))).collect()}
     want = near_roots_by_hand(texts)
     assert len(got) == 60 and len(set(got.values())) == len(set(want))
+
+
+def test_line_dedup_takes_short_lines(spark):
+    short = ["All rights reserved.", "版权所有。保留一切权利。", "one\ttwo\u3000three\tfour five", "end."]
+    rows = [(i, "\n".join([f"own{i} text{'x' * i} of its own {'y' * i}", *short, "", f"last{'z' * i} line"])) for i in range(4)]
+    out = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, table(spark, rows), "").collect()}
+    assert out[0].text == rows[0][1], "the first occurrence stays"
+    for i in range(1, 4):
+        lines = rows[i][1].split("\n")
+        assert out[i].text.split("\n") == [lines[0], "", lines[-1]] and out[i].n_chars == len(out[i].text)
