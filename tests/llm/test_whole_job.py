@@ -75,3 +75,13 @@ def test_line_dedup_takes_short_lines(spark):
     for i in range(1, 4):
         lines = rows[i][1].split("\n")
         assert out[i].text.split("\n") == [lines[0], "", lines[-1]] and out[i].n_chars == len(out[i].text)
+
+
+def test_line_dedup_takes_long_lines_of_two_documents(spark):
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "bcdfgh" for b in "aeiou"]
+    long, field = " ".join(words), " ".join([*words[:10], "AAA", *words[10:]][::-1])
+    cjk = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(60))
+    rows = [(i, "\n".join([f"own{'x' * i} line", long, field.replace("AAA", f"name{'q' * i}"), cjk, "a short line of two documents"])) for i in range(2)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, table(spark, rows), "").collect()}
+    assert out[0] == rows[0][1] and out[1].split("\n") == ["ownx line", "a short line of two documents"]
