@@ -85,3 +85,10 @@ def test_line_dedup_takes_long_lines_of_two_documents(spark):
     rows = [(i, "\n".join([f"own{'x' * i} line", long, field.replace("AAA", f"name{'q' * i}"), cjk, "a short line of two documents"])) for i in range(2)]
     out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, table(spark, rows), "").collect()}
     assert out[0] == rows[0][1] and out[1].split("\n") == ["ownx line", "a short line of two documents"]
+
+
+def test_near_dedup_with_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (7, a), (7, b), (7, c), (7, c), (None, a), (None, d), (None, d)]
+    single = corpus_pipeline.simhash_near_dedup(spark, table(spark, rows), "")
+    assert sorted(((r.doc_id, r.text) for r in single.collect()), key=repr) == sorted([(1, a), (7, b), (7, c), (None, d)], key=repr)
