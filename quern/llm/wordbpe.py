@@ -15,8 +15,8 @@ from .common import LOWER
 WORDS = 200_000
 #: Words are merged in groups of up to so many bytes; longer ones go to the library.
 WIDTHS = (5, 8, 11, 14, 18, 26, 64)
-#: No id, and no pair of ids; bits that the hash of a pair drops.
-PAD, NO_KEY, HASHED = np.uint32(0xFFFF), np.uint32(0xFFFFFFFF), np.uint32(14)
+#: No id, and no pair of ids; multiplier of a pair's hash, and bits that it drops.
+PAD, NO_KEY, TIMES, HASHED = np.uint32(0xFFFF), np.uint32(0xFFFFFFFF), np.uint32(0x9E3779B1), np.uint32(14)
 #: Kinds of bytes, as the file's splitting rule has them; of the two-byte letters, those whose first byte is LEAD take part.
 ODD, LETTER, DIGIT, SIGN, LEAD = 0, 1, 2, 3, 0xC3
 
@@ -59,20 +59,13 @@ class Merges:
         keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.uint32)
         self.none, rank = len(pairs), np.arange(len(pairs), dtype=np.int32)
         self.union = np.array([vocab[a + b] for a, b in pairs], np.uint32)
-        # the pairs by hash; those that fall on others' places have a second table, with a multiplier that parts them
-        self.tables = []
-        while len(keys):
-            odds = iter(range(0x9E3779B1, 1 << 32, 2))
-            while True:
-                times = np.uint32(next(odds))
-                place, first = np.unique(keys * times >> HASHED, return_index=True)
-                if not self.tables or len(first) == len(keys):
-                    break
-            at, ranks = np.full(1 << (32 - int(HASHED)), NO_KEY, np.uint32), np.full(1 << (32 - int(HASHED)), self.none, np.int32)
-            at[place], ranks[place] = keys[first], rank[first]
-            self.tables.append((times, at, ranks))
-            rest = np.setdiff1d(np.arange(len(keys)), first)
-            keys, rank = keys[rest], rank[rest]
+        # the pairs by hash; those that fall on others' places are looked up in order
+        place, first = np.unique(keys * TIMES >> HASHED, return_index=True)
+        self.keys, self.rules = np.full(1 << (32 - int(HASHED)), NO_KEY, np.uint32), np.full(1 << (32 - int(HASHED)), self.none, np.int32)
+        self.keys[place], self.rules[place] = keys[first], rank[first]
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        rest = rest[np.argsort(keys[rest])]
+        self.more_keys, self.more_rules = np.append(keys[rest], NO_KEY), np.append(rank[rest], np.int32(self.none))
 
     @staticmethod
     def fits(shape: dict) -> bool:
@@ -88,10 +81,14 @@ class Merges:
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rule of each pair, by rank; none where there is no rule."""
         key = left << np.uint32(16) | right
-        out = np.full(key.shape, self.none, np.int32)
-        for times, keys, ranks in self.tables:
-            place = key * times >> HASHED
-            out = np.where(keys[place] == key, ranks[place], out)
+        place = key * TIMES >> HASHED
+        seen = self.keys[place]
+        out = np.where(seen == key, self.rules[place], np.int32(self.none))
+        other = (seen != key) & (seen != NO_KEY)
+        if other.any():
+            asked = key[other]
+            at = np.minimum(np.searchsorted(self.more_keys, asked), len(self.more_keys) - 1)
+            out[other] = np.where(self.more_keys[at] == asked, self.more_rules[at], np.int32(self.none))
         return out
 
     def merged(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
