@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import functools
-from array import array
+import itertools
+import struct
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ class Vocabulary:
     """Pieces of a model file: scores and ids by piece, bytes, what each id stands for, and which pieces can stand side by side."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -40,11 +42,11 @@ class Vocabulary:
         self.value_of = {i: bytes([b]) for b, i in self.bytes.items()}
         #: Two characters that stand side by side in a piece; between others there is a boundary in any case.
         self.pairs = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
-        #: Length of the longest piece that ends with two given characters.
-        self.reach: dict[str, int] = {}
-        for p in self.pieces:
-            if len(p) > 1:
-                self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 0))
+        #: Finds all pieces in a stream, by their ends.
+        self.automaton = ahocorasick.Automaton()
+        for p, i in self.pieces.items():
+            self.automaton.add_word(p, (i, len(p)))
+        self.automaton.make_automaton()
         self.joints: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -80,83 +82,99 @@ class Vocabulary:
         return [found] if found is not None else self.ids_of_unknown(part)
 
 
-def viterbi(chars: Iterable[str], vocabulary: Vocabulary) -> Iterator[list[int]]:
-    """Ids of a stream of characters, given out as soon as they are certain.
+class Open:
+    """The window of a stream: its open positions, each with the one path that survives there.
 
     A path is a sequence of pieces (or single unknown characters) up to a position; it survives if the merge rules leave every boundary
     in it alone. Exactly one path survives at each position: what the rules make of the text up to there. So the last one is
-    their result for the whole text. Only vocabulary.longest positions are open, those from which an unseen piece may still
-    start. When the backpointers of all open positions meet in one boundary, the ids up to it are
-    committed and forgotten.
+    their result for the whole text. Pieces that end at a position come from an automaton over the vocabulary, the longest first.
+    Only the last vocabulary.longest positions can be the start of an unseen piece; where the backpointers of all of these meet, the ids up
+    to there are certain, are given out and are forgotten.
     """
-    longest, pieces, joint = vocabulary.longest, vocabulary.pieces, vocabulary.joint
-    text, base, end = "", 0, 0  # characters from position base on
-    back: dict[int, int] = {}  # where the last piece of a position's path starts
-    edge = ""  # the last piece before base
-
-    def last_piece(at: int) -> str:
-        return text[back[at] - base : at - base] if at > base else edge
-
-    for c in chars:
-        text += c
-        end += 1
-        back[end] = end - 1
-        for start in range(max(base, end - longest), end):
-            piece = text[start - base :]
-            if piece in pieces:
-                before = pieces.get(last_piece(start))
-                if before is None or joint(before, pieces[piece]):
-                    back[end] = start
-                    break
-        if end - base >= 2 * longest:
-            # walk back from every open position; where the walks meet is certain
-            ends = set(range(end - longest + 1, end + 1))
-            while len(ends) > 1:
-                ends.remove(last := max(ends))
-                ends.add(back[last] if last > base else base)
-            meet = ends.pop()
-            if meet > base:
-                out, at = [], meet
-                edge = last_piece(meet)
-                while at > base:
-                    out.append(text[back[at] - base : at - base])
-                    at = back[at]
-                yield [i for part in reversed(out) for i in vocabulary.ids(part)]
-                for p in range(base + 1, meet + 1):
-                    del back[p]
-                text, base = text[meet - base :], meet
-    out, at = [], end
-    while at > base:
-        out.append(text[back[at] - base : at - base])
-        at = back[at]
-    if out:
-        yield [i for part in reversed(out) for i in vocabulary.ids(part)]
-
 
-def within_window(run: str, vocabulary: Vocabulary) -> list[int]:
-    """What viterbi() gives for a run that ends before anything is committed, on lists."""
-    find, joints, joint, reach = vocabulary.pieces.get, vocabulary.joints, vocabulary.joint, vocabulary.reach
-    last, start_of = [-1], [0]  # by position: the id of the path's last piece, or -1 for none in the vocabulary; where it starts
-    for end in range(1, len(run) + 1):
-        best, own = end - 1, find(run[end - 1], -1)
-        for start in range(max(0, end - reach.get(run[end - 2 : end], 0)) if end > 1 else 0, end - 1):
-            piece = find(run[start:end])
-            if piece is not None:
-                before = last[start]
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        # by position from base on: the id of the path's last piece (-1: none in the vocabulary), its start, the character before
+        self.base, self.last, self.start, self.chars = 0, [-1], [0], ""
+
+    def feed(self, chunk: str) -> None:
+        last, start, base, joints, joint = self.last, self.start, self.base, self.vocabulary.joints, self.vocabulary.joint
+        # pieces that end in the chunk may start in the characters before it
+        seen = max(0, len(self.chars) - self.vocabulary.longest + 1)
+        self.chars += chunk
+        text = self.chars[seen:]
+        size, settled, shift = len(last), True, seen + 1
+        for at, (piece, n) in self.vocabulary.automaton.iter(text):
+            end = at + shift
+            if end >= size:
+                while size <= end:
+                    last.append(-1)
+                    start.append(base + size - 1)
+                    size += 1
+                settled = False
+            if settled:
+                continue
+            if n > 1:
+                before = last[end - n]
                 if before >= 0:
                     verdict = joints.get(before << 32 | piece)
                     if not (joint(before, piece) if verdict is None else verdict):
                         continue
-                best, own = start, piece
-                break
-        last.append(own)
-        start_of.append(best)
-    out: list[list[int]] = []
-    at = len(run)
-    while at:
-        out.append([last[at]] if last[at] >= 0 else vocabulary.ids_of_unknown(run[at - 1]))
-        at = start_of[at]
-    return [i for part in reversed(out) for i in part]
+                start[end] = base + end - n
+            last[end] = piece
+            settled = True
+        for size in range(size, len(self.chars) + 1):
+            last.append(-1)
+            start.append(base + size - 1)
+
+    def ids(self, to: int) -> list[int]:
+        """Ids of the path up to a position."""
+        out, last, start, base, at = [], self.last, self.start, self.base, to
+        while at > base:
+            piece = last[at - base]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += reversed(self.vocabulary.ids_of_unknown(self.chars[at - base - 1]))
+            at = start[at - base]
+        out.reverse()
+        return out
+
+    def commit(self) -> list[int]:
+        """The ids on which all open positions agree, which then leave the window."""
+        base, end = self.base, self.base + len(self.chars)
+        ends = set(range(max(base, end - self.vocabulary.longest + 1), end + 1))
+        while len(ends) > 1:
+            ends.remove(latest := max(ends))
+            ends.add(self.start[latest - base] if latest > base else base)
+        meet = ends.pop()
+        out, gone = self.ids(meet), meet - base
+        if gone > 0:
+            self.last, self.start, self.chars, self.base = self.last[gone:], self.start[gone:], self.chars[gone:], meet
+        return out
+
+
+def viterbi(chars: Iterable[str], vocabulary: Vocabulary) -> Iterator[list[int]]:
+    """Ids of a stream of characters, given out as soon as they are certain (see Open); at the stream's end, the rest.
+
+    The window takes in 2 * vocabulary.longest characters at a time.
+    """
+    window, stream, most = Open(vocabulary), iter(chars), 2 * vocabulary.longest
+    while chunk := "".join(itertools.islice(stream, most)):
+        window.feed(chunk)
+        if len(chunk) == most and (found := window.commit()):
+            yield found
+    if found := window.ids(window.base + len(window.chars)):
+        yield found
+
+
+def within_window(run: str, vocabulary: Vocabulary) -> list[int]:
+    """All ids that viterbi() gives for a run; one that the window takes in at once commits at its end."""
+    if len(run) > 2 * vocabulary.longest:
+        return [i for part in viterbi(run, vocabulary) for i in part]
+    window = Open(vocabulary)
+    window.feed(run)
+    return window.ids(len(run))
 
 
 def _runs_of(text: str) -> Iterator[str]:
@@ -179,16 +197,15 @@ def encoder(path: str) -> tuple[Vocabulary, Callable[[str], bytes]]:
     known: dict[str, bytes] = {}
 
     def ids(run: str) -> bytes:
-        if len(run) < 2 * vocabulary.longest:
-            return array("I", within_window(run, vocabulary)).tobytes()
-        return np.array([i for part in viterbi(run, vocabulary) for i in part], "<u4").tobytes()
+        return struct.pack(f"<{len(found := within_window(run, vocabulary))}I", *found)
 
     pairs, line_end = vocabulary.pairs, np.array(vocabulary.ids("\n"), "<u4").tobytes()
 
     def word(run: str) -> bytes:
         found = known.get(run)
         if found is None:
-            cuts = [i for i in range(1, len(run)) if run[i - 1 : i + 1] not in pairs]
+            plain = run[1:]
+            cuts = [] if plain.isascii() and plain.isalpha() else [i for i in range(1, len(run)) if run[i - 1 : i + 1] not in pairs]
             found = b"".join([word(run[a:b]) for a, b in zip([0, *cuts], [*cuts, len(run)])]) if cuts else ids(run)
             if len(run) <= 64:
                 if len(known) >= WORDS:

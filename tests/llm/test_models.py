@@ -284,6 +284,25 @@ def test_stream_commits_early(model):
     assert len(waits) > 1000 and max(waits) <= 4 * vocabulary.longest
 
 
+def test_window_forgets_what_is_certain(model):
+    """Chunks of any size give the library's ids, and the window stays bounded."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    vocabulary, _ = pieces.encoder(model)
+    text = "internationalisation 日本 counterrevolutionary🙂 " * 40
+    run = pieces.SPACE + text.replace(" ", pieces.SPACE)
+    for size in (1, 7, 33):
+        window, found, commits = pieces.Open(vocabulary), [], 0
+        for at in range(0, len(run), size):
+            window.feed(run[at : at + size])
+            part = window.commit()
+            commits += bool(part)
+            found += part
+            assert len(window.last) == len(window.start) == len(window.chars) + 1 <= 4 * vocabulary.longest + size
+        assert found + window.ids(window.base + len(window.chars)) == library.encode(text) and commits > 40
+
+
 def test_pieces_cases(spark, odd_docs, no_docs, model):
     made = pieces.encode_texts(odd_docs, model)
     texts = {r.doc_id: r.text or "" for r in odd_docs.collect() if r.doc_id is not None}
@@ -339,6 +358,34 @@ def test_packing(which, block, request, monkeypatch):
     check_packing(found, [(r.doc_id, r.text) for r in df.collect()], 2048, path)
 
 
+def test_packing_keeps_special_tokens(spark):
+    """Ids are those of the tokenizer's plain call, in which strings of special tokens are these tokens; as_text makes them ordinary text."""
+    from tokenizers import Tokenizer
+
+    path, text = entries.vocabulary(WORD), "Hello <|endoftext|> world"
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    library = Tokenizer.from_file(path)
+    for as_text in (False, True):
+        library.encode_special_tokens = as_text
+        found = sorted(rows_of(packing.pack(df, path, as_text=as_text)), key=lambda r: r["start"])
+        assert np.frombuffer(b"".join(r["ids"] for r in found), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_words_by_rules_equal_the_library():
+    from tokenizers import Tokenizer
+
+    from quern.llm import wordbpe
+
+    path = entries.vocabulary(WORD)
+    library, encoder = Tokenizer.from_file(path), wordbpe.WordEncoder(path, words=500)
+    assert encoder.rules is not None
+    random.seed(3)
+    parts = ["a", "b", "th", "e", "don't", "'s", "ré", "É", "ß", "×", "÷", "İ", "ſ", " ", "  ", "日", ",", ". ", "\n", "the", "12", "é", "0", "aaaa", "🙂", "\x00", "K", "\x85", "\xa0", "\x1c", "ª", "²", "Ω"]
+    texts = ["".join(random.choices(parts, k=random.randint(0, 40))) for _ in range(600)] + ["x" * 5000, ""]
+    got = [i for at in range(0, len(texts), 50) for i in encoder.encode([t.encode() for t in texts[at : at + 50]])]
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_packing_nothing_and_many_sources(spark, no_docs, monkeypatch):
     path = entries.vocabulary(WORD)
     assert packing.pack(no_docs, path).count() == 0
