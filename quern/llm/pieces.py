@@ -14,15 +14,28 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words whose ids a worker remembers.
-WORDS = 400_000
+WORDS = 150_000
 #: Pairs of pieces that a worker remembers the verdict on.
-JOINTS = 800_000
+JOINTS = 300_000
 
 
-class Vocabulary:
+class Shown:
+    """What each id of a model file stands for: bytes of its text, or the byte that it is a part of."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = model.id_to_piece(list(range(model.get_piece_size())))
+        self.value_of = {i: bytes([int(name[3:-1], 16)]) for i, name in enumerate(names) if model.is_byte(i)}
+        self.shown = [b"" if model.is_control(i) else None if model.is_byte(i) else " \u2047 ".encode() if model.is_unknown(i) else name.replace(SPACE, " ").encode() for i, name in enumerate(names)]
+
+
+class Vocabulary(Shown):
     """Pieces of a model file: scores and ids by piece, bytes, what each id stands for, and which pieces can stand side by side."""
 
     def __init__(self, path: str):
+        super().__init__(path)
         import ahocorasick
         import sentencepiece
 
@@ -30,7 +43,7 @@ class Vocabulary:
         n = model.get_piece_size()
         self.names = model.id_to_piece(list(range(n)))
         self.unknown = model.unk_id()
-        self.bytes = {int(self.names[i][3:-1], 16): i for i in range(n) if model.is_byte(i)}
+        self.bytes = {b[0]: i for i, b in self.value_of.items()}
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i) for i in range(n)]
         self.scores = {self.names[i]: model.get_score(i) for i in range(n) if not special[i]}
         #: Pieces that merging makes of their own text; no others occur.
@@ -38,8 +51,6 @@ class Vocabulary:
         self.longest = max(map(len, self.pieces), default=1)
         #: Where a space sign is inside no piece but runs of them, no piece crosses from another character to a space sign.
         self.splits_at_spaces = not any(SPACE in p[1:] and p.strip(SPACE) for p in self.pieces)
-        self.shown = [b"" if model.is_control(i) else None if model.is_byte(i) else " \u2047 ".encode() if model.is_unknown(i) else name.replace(SPACE, " ").encode() for i, name in enumerate(self.names)]
-        self.value_of = {i: bytes([b]) for b, i in self.bytes.items()}
         #: Two characters that stand side by side in a piece; between others there is a boundary in any case.
         self.pairs = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
         #: Finds all pieces in a stream, by their ends.
@@ -209,8 +220,9 @@ def encoder(path: str) -> tuple[Vocabulary, Callable[[str], bytes]]:
             found = b"".join([word(run[a:b]) for a, b in zip([0, *cuts], [*cuts, len(run)])]) if cuts else ids(run)
             if len(run) <= 64:
                 if len(known) >= WORDS:
-                    known.clear()
-                    known[""] = b""
+                    # the older half goes; words in use come back at their next miss
+                    for w in list(itertools.islice(known, WORDS // 2)):
+                        del known[w]
                 known[run] = found
         return found
 
@@ -238,10 +250,15 @@ def encoder(path: str) -> tuple[Vocabulary, Callable[[str], bytes]]:
     return vocabulary, encode
 
 
-def decode_ids(ids: np.ndarray, vocabulary: Vocabulary) -> str:
+@functools.lru_cache(maxsize=2)
+def shown(path: str) -> Shown:
+    return Shown(path)
+
+
+def decode_ids(ids: np.ndarray, vocabulary: Shown) -> str:
     """The text of ids; the space that encoding puts first is taken off, and bytes that aren't UTF-8 become replacement signs."""
-    shown, value_of = vocabulary.shown, vocabulary.value_of
-    text = b"".join([shown[i] if shown[i] is not None else value_of[i] for i in ids.tolist()]).decode("utf-8", "replace")
+    stands, value_of = vocabulary.shown, vocabulary.value_of
+    text = b"".join([stands[i] if stands[i] is not None else value_of[i] for i in ids.tolist()]).decode("utf-8", "replace")
     return text[1:] if text[:1] == " " else text
 
 
@@ -266,7 +283,7 @@ def decode_texts(encoded: DataFrame, model: str) -> DataFrame:
     """(doc_id, ids, text): encoded with the texts of its ids; null ids are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, _ = encoder(model)
+        vocabulary = shown(model)
         for b in batches:
             texts = [decode_ids(np.frombuffer(x or b"", "<u4"), vocabulary) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
