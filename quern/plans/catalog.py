@@ -243,6 +243,13 @@ register("include_one_latest", "SELECT c_custkey AS custKey, (SELECT o_orderkey
     lambda db: select(C, include_one={"best": _OF}).dataframe(db).select("custKey", "best.orderKey").toDF("custKey", "best"))
 register("include_nested", "SELECT c_custkey AS custKey, count(DISTINCT o_orderkey) AS orders, count(l_orderkey) AS items, coalesce(sum(l_quantity), 0) AS quantity FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")(
     lambda db: select(C, include_many={"orders": Include(O, {"custKey": "custKey"}, include_many={"items": Include(I, {"orderKey": "orderKey"}, ("line", "quantity"))})}).dataframe(db).selectExpr("custKey", "cast(size(orders) as bigint) as orders", "cast(aggregate(orders, 0, (a, o) -> a + size(o.items)) as bigint) as items", "aggregate(orders, 0d, (a, o) -> a + aggregate(o.items, 0d, (b, i) -> b + i.quantity)) as quantity"))
+_PAGE = "SELECT c_custkey AS custKey, {} count(o_orderkey) AS n, coalesce(string_agg(o_orderkey, ',' ORDER BY o_orderkey), '') AS orders FROM (SELECT * FROM customer ORDER BY {} LIMIT {}) LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL"
+_paged = select(C, include_many={"orders": Include(O, {"custKey": "custKey"}, ("orderKey", "total"), order=(("orderKey", False),))})
+_PAGE_COLUMNS = ("cast(size(orders) as bigint) as n", "array_join(transform(orders, x -> cast(x.orderKey as string)), ',') as orders")
+register("include_page_ordered", _PAGE.format("c_name AS name,", "c_acctbal DESC, c_custkey", "9 OFFSET 4"))(
+    lambda db: _paged.dataframe(db, {"order_by": {"balance": "desc", "custKey": "asc"}, "limit": 9, "offset": 4}).selectExpr("custKey", "name", *_PAGE_COLUMNS))
+register("include_page_projected", _PAGE.format("", "c_custkey DESC", "6"))(
+    lambda db: _paged.dataframe(db, {"order_by": {"custKey": "desc"}, "limit": 6, "select": ["custKey"]}).selectExpr("custKey", *_PAGE_COLUMNS))
 _orders_of = sql("select {r} from {o} where {a} = {b}", r=row(O.c.orderKey, O.c.total), o=O, a=O.c.custKey, b=C.out.custKey).named("own_orders")
 _many = sql("select {k}, {m} from {c}", k=C.c.custKey, m=json_many(_orders_of, order=(("total", True),)).as_("orders"), c=C)
 _one = sql("select {k}, {m} from {c}", k=C.c.custKey, m=json_one(_orders_of, order=(("orderKey", False),)).as_("first"), c=C)

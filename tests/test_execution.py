@@ -272,6 +272,19 @@ def test_transactions(store):
         assert code_of(lambda: t.insert(Account, {"id": 7, "name": "x"})) == ErrorCode.BUILD_FAILED
 
 
+def test_page_before_includes(db):
+    """Order, page and projection of the run count with includes too, and only the page's children are gathered."""
+    many = select(Customer, include_many={"orders": Include(Order, {"custKey": "custKey"}, ("orderKey",))})
+    whole = {r.custKey: r.orders for r in many.dataframe(db).collect()}
+    for given in ({"order_by": {"custKey": "desc"}, "limit": 3, "offset": 2, "select": ["name"]}, {"order_by": {"custKey": "desc"}, "limit": 3, "offset": 2}):
+        page = many.dataframe(db, given)
+        assert page.columns == (["name", "orders"] if "select" in given else [*Customer.columns, "orders"])
+        assert "LeftSemi" in page._jdf.queryExecution().optimizedPlan().toString()
+        keys = sorted(whole, reverse=True)[2:5]
+        assert [r.orders for r in page.collect()] == [whole[k] for k in keys]
+    assert code_of(lambda: many.dataframe(db, {"select": ["nothing"]})) == code_of(lambda: select(Customer).dataframe(db, {"select": ["nothing"]}))
+
+
 def test_include_edges(spark):
     parent = spark.createDataFrame([(1,), (2,), (None,)], "id long")
     child = spark.createDataFrame([(1, "b", 1), (1, "a", None), (None, "n", 3)], "fk long, name string, rank int")
