@@ -17,6 +17,8 @@ SPACE = "▁"
 WORDS = 150_000
 #: Pairs of pieces that a worker remembers the verdict on.
 JOINTS = 300_000
+#: Rows that a worker makes at a time.
+ROWS = 512
 
 
 class Shown:
@@ -262,6 +264,13 @@ def decode_ids(ids: np.ndarray, vocabulary: Shown) -> str:
     return text[1:] if text[:1] == " " else text
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ROWS rows, so that few texts and ids are held at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): ids of each whole text, as binary of four bytes each, little-endian.
 
@@ -272,7 +281,7 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encode = encoder(model)
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode(t or "") for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -284,7 +293,7 @@ def decode_texts(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shown(model)
-        for b in batches:
+        for b in small(batches):
             texts = [decode_ids(np.frombuffer(x or b"", "<u4"), vocabulary) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
