@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.scratch import written as durable
+
 #: A to Z to lower case, byte for byte: UTF-8 uses these bytes for these letters only.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -15,23 +14,6 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 HOT_SHARE = 1000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset (tests), a new local one, set for the session."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: lost executors cost no recomputation of what made it."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quern-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def texts_of(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is empty."""
     import pyarrow as pa
