@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words whose ids a worker remembers.
-WORDS = 150_000
+WORDS = 400_000
 #: Pairs of pieces that a worker remembers the verdict on.
 JOINTS = 300_000
 #: Rows that a worker makes at a time.
