@@ -14,7 +14,8 @@ from quern import cli
 from quern.errors import ErrorCode, QueryError
 from quern.functions import scalars
 from quern.operators.crud import Include, select
-from quern.operators.includes import include_many, include_one
+from quern.operators.includes import include_many, include_one, json_many, json_one
+from quern.operators.projection import row
 from quern.operators.mutations import DEFAULT
 from quern.operators.recursion import iterate
 from quern.plans import manifest
@@ -297,6 +298,19 @@ def test_include_edges(spark):
         assert one[1].name == want and one[2] is None
 
 
+def test_includes_in_templates_order_ties(spark, db):
+    own = sql("select {r} from {o} where {a} = {b}", r=row(Order.c.orderKey, Order.c.status), o=Order, a=Order.c.custKey, b=Customer.out.custKey).named("own")
+    orders = db.frame("orders").where("o_custkey < 20").orderBy(F.desc("o_orderkey")).coalesce(1).localCheckpoint()
+    frames = Database(spark, {"customer": db.frame("customer"), "orders": orders})
+    order = (("status", True),)
+    q = sql("select {k}, {m}, {f} from {c}", k=Customer.c.custKey, m=json_many(own, order=order).as_("many"), f=json_one(own, order=order).as_("first"), c=Customer)
+    found = [r for r in q.dataframe(frames).where("custKey < 20").collect() if r.many]
+    assert found and any(len({x.status for x in r.many}) < len(r.many) for r in found)
+    for r in found:
+        assert [x.orderKey for x in r.many] == [x.orderKey for x in sorted(sorted(r.many, key=lambda x: x.orderKey), key=lambda x: x.status, reverse=True)]
+        assert r.first == r.many[0]
+
+
 def test_select_rules(db):
     assert code_of(lambda: select(Order, limit=3)) == ErrorCode.BUILD_FAILED
     df = select(Order, order_by={"orderKey": "desc"}).dataframe(db, {"order_by": {"orderKey": "asc"}, "limit": 1})
