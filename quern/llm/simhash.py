@@ -91,9 +91,10 @@ def links(fps: DataFrame) -> DataFrame:
     probe = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("i")).select(
         "fp", F.expr("CAST(i >= 33 AS INT)").alias("seg"), F.expr(f"{_half('CAST(i >= 33 AS INT)', 'fp')} ^ IF(i % 33 = 0, 0L, shiftleft(1L, i % 33 - 1))").alias("val")
     )
-    index = table.join(crowded, ["seg", "val"], "left_anti").select("seg", "val", F.col("fp").alias("other"))
+    index = table.join(crowded.hint("merge"), ["seg", "val"], "left_anti").select("seg", "val", F.col("fp").alias("other"))
     index = index.unionByName(crowded.withColumn("other", F.lit(None).cast("long")))
-    met = durable(probe.join(index, ["seg", "val"]).where("other IS NULL OR (fp < other AND bit_count(fp ^ other) <= 2)").select("fp", "other"))
+    # Spark takes the probes' size to be that of the fingerprints, a 66th, and would broadcast them
+    met = durable(probe.hint("merge").join(index, ["seg", "val"]).where("other IS NULL OR (fp < other AND bit_count(fp ^ other) <= 2)").select("fp", "other"))
     near = met.where("other IS NOT NULL").select(F.col("fp").alias("u"), F.col("other").alias("v"))
     centres = met.where("other IS NULL").select("fp").distinct().select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))
     stars = centres.select("fp", F.expr("fp ^ IF(i = 0, 0L, shiftleft(1L, i - 1))").alias("centre")).groupBy("centre").agg(F.collect_set("fp").alias("all"))
@@ -108,14 +109,15 @@ def near_groups(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: s
     included. Null and empty texts have fingerprint zero and link like any other. Null ids never are the smallest; a
     component of null ids only has a null component_id. Repeated rows get equal results. Other columns are ignored; an empty
     table gives no rows. Copies share a fingerprint and are one node: neither buckets nor edges grow with them.
+    Tables that grow with the corpus meet by merges, as their files' sizes tell little of the memory that they would take as broadcasts.
     """
     found = durable(fingerprints(docs, k, id_col, text_col))
     total = found.count()
     nodes = durable(found.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     roots = components(links(nodes.select("fp")))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = durable(named)
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
-    named = durable(join_groups(named, least, "root", "members", nodes.count()).select("fp", "component_id", "copies"))
-    out = join_groups(found, named, "fp", "copies", total)
+    named = durable(join_groups(named, least.hint("merge"), "root", "members", nodes.count()).select("fp", "component_id", "copies"))
+    out = join_groups(found, named.hint("merge"), "fp", "copies", total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -92,6 +92,20 @@ def test_simhash(which, request):
     assert sorted(got, key=repr) == components_by_hand([(r.doc_id, r.text) for r in df.collect()])
 
 
+def test_links_broadcast_nothing(spark, monkeypatch):
+    """Probes are many times what Spark takes their size to be: no such table goes through the driver, whatever the threshold."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.durable(df)
+
+    monkeypatch.setattr(simhash, "durable", seen)
+    edges = simhash.links(spark.range(50).selectExpr("id AS fp"))
+    assert edges.where("u = v").count() == 0
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 @pytest.mark.parametrize("bucket", [64, 2])
 def test_links_in_crowded_buckets(spark, monkeypatch, bucket):
     """Hundreds of fingerprints around a few centres, in the classical and the crowded way."""
