@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import xxhash
+
 import corpus_pipeline
 from quern.llm import nearcopies, simhash
 
@@ -92,3 +95,20 @@ def test_near_dedup_with_repeated_and_null_ids(spark):
     rows = [(1, a), (7, a), (7, b), (7, c), (7, c), (None, a), (None, d), (None, d)]
     single = corpus_pipeline.simhash_near_dedup(spark, table(spark, rows), "")
     assert sorted(((r.doc_id, r.text) for r in single.collect()), key=repr) == sorted([(1, a), (7, b), (7, c), (None, d)], key=repr)
+
+
+def test_near_copies_by_simhash(spark, monkeypatch):
+    """SimHash finds near copies within its radius by itself: here no two texts share a segment."""
+    monkeypatch.setattr(nearcopies, "_segments", lambda h, sizes: np.random.default_rng().integers(0, 2**64, (len(sizes), nearcopies.SEGMENTS), dtype=np.uint64))
+    rng = np.random.default_rng(0)
+    bases = [[f"w{x}" for x in rng.integers(0, 10**6, 400)] for _ in range(8)]
+    texts = [" ".join(w) for words in bases for w in (words, words[:-1] + ["x"])]
+
+    def fp(text):
+        h = [xxhash.xxh64_intdigest(x, simhash.SEED) for x in simhash.shingles(text.encode(), nearcopies.WORDS)]
+        return int(simhash._majority(h, [len(h)])[0])
+
+    apart = [(fp(a) ^ fp(b)).bit_count() for a, b in zip(texts[::2], texts[1::2])]
+    assert any(0 < x <= 2 for x in apart)
+    got = {r.doc_id: r.root for r in nearcopies.near_copies(table(spark, list(enumerate(texts)))).collect()}
+    assert [got[2 * i] == got[2 * i + 1] for i in range(len(bases))] == [x <= 2 for x in apart]
