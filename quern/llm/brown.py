@@ -8,23 +8,33 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, durable, texts_of
 
-#: Most frequent words that are broadcast, at most; the rarer ones' counts are joined.
+#: Most frequent words that are broadcast, at most; the rarer ones' classes and counts are joined.
 KNOWN = 100_000
-#: The most frequent words, which exchange clustering deals out to CLASSES, in ROUNDS at most; the next are assigned by their neighbours' classes.
+#: The most frequent words, which the driver deals out to CLASSES (63 at most) one by one, in ROUNDS at most; the next start by their neighbours' classes, the others by their ending.
 CLUSTERED, CLASSES, ROUNDS, ASSIGNED = 1200, 48, 12, 20_000
-#: Bytes of a word's ending; rarer words take the class that most words of their ending have. Endings at most.
-ENDING, ENDINGS = 3, 20_000
+#: Rounds of exchange over all training words, at most.
+SWEEPS = 2
+#: Bytes of a word's ending; words start in the class that most known words of their ending have, and those that training hasn't stay there.
+ENDING = 3
 #: Distinct words that a task counts before it passes its counts on.
 DISTINCT = 400_000
 #: The end token, which no word can be.
 END = b"\n"
 CHUNKS = 32
+#: Tokens and distinct rare words of which a task gathers the places before it passes them on.
+BLOCK, BLOCK_WORDS = 2_000_000, 200_000
+#: Tokens counted at once.
+SLICE = 1_000_000
+#: A rare word's place: twice the row, and one more in training; the codes of the words beside it, or -1 for rare ones.
+PLACE = np.dtype([("row", "<i8"), ("left", "<i4"), ("right", "<i4")])
+#: Instead of a class: the neighbour is the word itself.
+ITSELF = 63
 #: Weight of the classes' own frequencies in transitions.
 PRIOR = 2.0
 
@@ -51,56 +61,101 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encoded(docs: DataFrame, table: dict[bytes, int], endings: dict[bytes, int]) -> DataFrame:
-    """(row, doc_id, train, ids, rare): token codes as four bytes each; the words without a code of their own.
+def _blobs(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """data's items as binary values of sizes items each."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * data.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype("<i8").tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
-    Codes: 0 the end, then table's words, then endings in their order, then one for all other endings.
+
+def encoded(docs: DataFrame, table: dict[bytes, int]) -> DataFrame:
+    """(kind, row, doc_id, train, ids, word, near, places) of three kinds.
+
+    0: a document's token codes as four bytes each: 0 the end, then table's words, then one for all rarer ones.
+    1: a rarer word and some of its places. 2, 3: a rarer word, another one before (2) or after (3) it, and twice
+    the row, with one more in training, as row; those after it in training only, a word after itself not at all.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((table, endings))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast(table)
+    kind = docs.schema["doc_id"].dataType
+    names = ["kind", "row", "doc_id", "train", "ids", "word", "near", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, ends = shared.value
-        first, other = len(codes), len(codes) + len(ends)
-        row, get = TaskContext.get().partitionId() << 40, codes.get
+        codes = shared.value
+        rare, get = len(codes), codes.get
+        row = TaskContext.get().partitionId() << 32
+        local: dict[bytes, int] = {}
+        held: list[tuple[int, np.ndarray]] = []
+        tokens, id_type = 0, None
+
+        def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+            types = dict(zip(names, (pa.int32(), pa.int64(), id_type, pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())))
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, types[c])) for c in names], names)
+
+        def placed() -> Iterator[pa.RecordBatch]:
+            x = np.concatenate([ids for _, ids in held]).astype(np.int64)
+            of_row = np.repeat(np.array([r for r, _ in held], np.int64), [len(ids) for _, ids in held])
+            words = pa.array(list(local), pa.binary())
+            left, right = _previous(x), np.append(x[1:], 0)
+            at = np.flatnonzero(x >= rare)
+            at = at[np.argsort(x[at], kind="stable")]
+            places = np.empty(len(at), PLACE)
+            places["row"] = of_row[at]
+            places["left"] = np.where(left[at] < rare, left[at], -1)
+            places["right"] = np.where(right[at] < rare, right[at], -1)
+            sizes = np.bincount(x[at] - rare, minlength=len(local))
+            for i, m in _steps(sizes, BLOCK_WORDS):
+                first = int(sizes[:i].sum())
+                yield rows(m, kind=pa.array(np.full(m, 1, np.int32)), word=words.slice(i, m), places=_blobs(places[first : first + int(sizes[i : i + m].sum())], sizes[i : i + m]))
+            to = np.flatnonzero((x >= rare) & (left >= rare))
+            after = to[(of_row[to] & 1 == 1) & (x[to] != left[to])]
+            for side, w, near, r in ((2, x[to], left[to], of_row[to]), (3, left[after], x[after], of_row[after])):
+                if len(w):
+                    yield rows(len(w), kind=pa.array(np.full(len(w), side, np.int32)), row=pa.array(r), word=words.take(pa.array(w - rare)), near=words.take(pa.array(near - rare)))
+            held.clear()
+            local.clear()
+
         for b in batches:
-            ids, rare = [], []
-            for t in texts_of(b.column(1)):
+            id_type = b.column(0).type
+            ids = []
+            for t, train in zip(texts_of(b.column(1)), b.column(2).to_pylist()):
                 words = t.translate(LOWER).split()
                 found = list(map(get, words))
-                odd = []
-                if None in found:
-                    for i, x in enumerate(found):
-                        if x is None:
-                            odd.append(w := words[i])
-                            e = ends.get(w[-ENDING:])
-                            found[i] = other if e is None else first + e
+                odd = None in found
+                if odd:
+                    for i, c in enumerate(found):
+                        if c is None:
+                            found[i] = rare + local.setdefault(words[i], len(local))
                 found.append(0)
-                ids.append(np.array(found, "<u4").tobytes())
-                rare.append(odd)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ids))), b.column(0), b.column(2), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], ["row", "doc_id", "train", "ids", "rare"])
-            row += len(ids)
+                x = np.array(found, "<u4")
+                ids.append(np.minimum(x, rare).astype("<u4").tobytes())
+                if odd:
+                    held.append((2 * row + bool(train), x))
+                    tokens += len(x)
+                row += 1
+                if tokens >= BLOCK or len(local) >= BLOCK_WORDS:
+                    yield from placed()
+                    tokens = 0
+            n = len(ids)
+            yield rows(n, kind=pa.array(np.zeros(n, np.int32)), row=pa.array(np.arange(row - n, row)), doc_id=b.column(0), train=b.column(2), ids=pa.array(ids, pa.binary()))
+        if held:
+            yield from placed()
 
-    return docs.select("doc_id", F.col("text").cast("string"), "train").mapInArrow(run, f"row long, doc_id {kind}, train boolean, ids binary, rare array<binary>")
+    return docs.select("doc_id", F.col("text").cast("string"), "train").mapInArrow(run, f"kind int, row long, doc_id {kind.simpleString()}, train boolean, ids binary, word binary, near binary, places binary")
 
 
-def tallied(tokens: DataFrame, size: int, cells: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """How often each cell 0..size-1 occurs, where cells maps a run of whole documents' codes to cells.
+def _steps(sizes: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
+    for i in range(0, len(sizes), step):
+        yield i, min(step, len(sizes) - i)
 
-    Every task adds up its own; the sums are added up by chunks of cells, and only the total reaches the driver.
-    """
-    width = -(-size // CHUNKS)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(width * CHUNKS, np.int64)
-        for b in batches:
-            if b.num_rows:
-                found = cells(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4").astype(np.int64))
-                at, n = np.unique(found, return_counts=True)
-                sums[at] += n
-        blobs = [zlib.compress(x.tobytes(), 1) for x in sums.reshape(CHUNKS, width)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "sums"])
+def _chunks(sums: np.ndarray) -> pa.RecordBatch:
+    """(chunk, sums): an array of a multiple of CHUNKS cells, by CHUNKS parts."""
+    blobs = [zlib.compress(x.tobytes(), 1) for x in sums.astype(np.int64).reshape(CHUNKS, -1)]
+    return pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "sums"])
+
+
+def _total(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of (chunk, sums) of several tasks, added up by chunks; only the total reaches the driver."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -110,13 +165,28 @@ def tallied(tokens: DataFrame, size: int, cells: Callable[[np.ndarray], np.ndarr
                 total[chunk] = total[chunk] + x if chunk in total else x
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["chunk", "sums"])
 
-    shape = "chunk int, sums binary"
-    out = np.zeros((CHUNKS, width), np.int64)
-    for r in tokens.select("ids").mapInArrow(partial, shape).repartition("chunk").mapInArrow(merge, shape).collect():
+    out = np.zeros((CHUNKS, -(-size // CHUNKS)), np.int64)
+    for r in parts.repartition("chunk").mapInArrow(merge, "chunk int, sums binary").collect():
         out[r.chunk] = np.frombuffer(zlib.decompress(r.sums), np.int64)
     return out.reshape(-1)[:size]
 
 
+def tallied(tokens: DataFrame, size: int, cells: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """How often each cell 0..size-1 occurs, where cells maps codes and the codes before them to cells."""
+    width = -(-size // CHUNKS)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(width * CHUNKS, np.int64)
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4")
+            for i in range(0, len(x), SLICE):
+                part = x[i : i + SLICE].astype(np.int64)
+                np.add.at(sums, cells(part, _previous(part, int(x[i - 1]) if i else 0)), 1)
+        yield _chunks(sums)
+
+    return _total(tokens.select("ids").mapInArrow(partial, "chunk int, sums binary"), size)
+
+
 def _previous(x: np.ndarray, first: int = 0) -> np.ndarray:
     return np.concatenate([[first], x[:-1]])
 
@@ -179,28 +249,67 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
     return of
 
 
-def _learn(spark: SparkSession, tokens: DataFrame, words: list[bytes], counts: np.ndarray, endings: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """The class of every code, and the number of classes; class 0 is the end's alone."""
+def gains(joint: np.ndarray, of: np.ndarray, out: np.ndarray, back: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """How much each word (row) raises the likelihood of the class bigrams in each class, over its being in none.
+
+    joint counts the class bigrams, the word's own in class of included; out and back are the word's counts to and
+    from the classes of other words, own those with itself. The figures are those of exchange(), for many words.
+    """
+    each = np.arange(len(of))
+    gain = np.zeros(out.shape)
+    for sums, n in ((joint.sum(1), out.sum(1) + own), (joint.sum(0), back.sum(1) + own)):
+        rest = np.tile(sums, (len(of), 1))
+        rest[each, of] -= n
+        gain -= _h(rest + n[:, None]) - _h(rest)
+    for mine, other, cells in ((out, back, joint), (back, out, joint.T)):
+        w, d = np.nonzero(mine)
+        if not len(w):
+            continue
+        n, k = mine[w, d], of[w]
+        rest = cells.T[d].astype(float)  # of each count: the cells of all classes with its class, then without the word
+        rest[np.arange(len(w)), k] -= n
+        same = np.flatnonzero(d == k)
+        rest[same] -= other[w[same]]
+        rest[same, k[same]] -= own[w[same]]
+        starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        gain[w[starts]] += np.add.reduceat(_h(rest + n[:, None]) - _h(rest), starts, axis=0)
+    both = np.tile(np.diag(joint).astype(float), (len(of), 1))
+    both[each, of] -= out[each, of] + back[each, of] + own
+    return gain + _h(both + out + back + own[:, None]) - _h(both + out) - _h(both + back) + _h(both)
+
+
+def _moved(joint: np.ndarray, of: np.ndarray, out: np.ndarray, back: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The class of each word after a move to where it gains most; class 0 is the end's alone."""
+    new = of.copy()
+    for i in range(0, len(of), 2000):
+        at = slice(i, i + 2000)
+        gain = gains(joint, of[at], out[at].astype(float), back[at].astype(float), own[at].astype(float))
+        gain[:, 0] = -np.inf
+        to, each = np.argmax(gain, axis=1), np.arange(len(gain))
+        new[at] = np.where(gain[each, to] > gain[each, of[at]] + 1e-9, to, of[at])
+    return new
+
+
+def _start(tokens: DataFrame, words: list[bytes]) -> tuple[np.ndarray, int]:
+    """A class for the end and the ASSIGNED most frequent words to start with, and the number of classes."""
     train = tokens.where("train")
     n = min(CLUSTERED, len(words)) + 1  # the end takes part with a code of its own
 
-    def close(x: np.ndarray) -> np.ndarray:
-        p = _previous(x)
+    def close(x: np.ndarray, p: np.ndarray) -> np.ndarray:
         both = (x < n) & (p < n)
         return p[both] * n + x[both]
 
     pairs = tallied(train, n * n, close).reshape(n, n)
-    known = 1 + exchange(pairs[1:, 1:], CLASSES, ROUNDS)
     classes = 1 + min(CLASSES, max(1, n - 1))
-    of = np.concatenate([[0], known])
+    of = np.concatenate([[0], 1 + exchange(pairs[1:, 1:], CLASSES, ROUNDS)])
     m = min(ASSIGNED, len(words)) + 1
     if m > n:
         table = np.concatenate([of, np.full(m - n, -1)])
         top = len(table)
 
-        def beside(x: np.ndarray) -> np.ndarray:
+        def beside(x: np.ndarray, p: np.ndarray) -> np.ndarray:
             c = np.where(x < top, table[np.minimum(x, top - 1)], -1)
-            p, before = _previous(x), _previous(c)
+            before = np.where(p < top, table[np.minimum(p, top - 1)], -1)
             to = (x >= n) & (x < m) & (before >= 0)
             back = (p >= n) & (p < m) & (c >= 0)
             return np.concatenate([x[to] * (2 * classes) + before[to], p[back] * (2 * classes) + classes + c[back]])
@@ -209,17 +318,161 @@ def _learn(spark: SparkSession, tokens: DataFrame, words: list[bytes], counts: n
         joint = np.zeros((classes, classes))
         np.add.at(joint, (of[:, None].repeat(n, 1), of[None, :].repeat(n, 0)), pairs)
         joint += 0.1
-        score = np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True))[:, 1:]
-        fit = profile[:, 0] @ score + profile[:, 1] @ np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True))[1:].T
+        score = np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True))
+        fit = profile[:, 0] @ score[:, 1:] + profile[:, 1] @ score[1:].T
         of = np.concatenate([of, 1 + np.argmax(fit, axis=1)])
-    votes = np.zeros((len(endings) + 1, classes))
-    for w, c, k in zip(words[: m - 1], counts[: m - 1], of[1:]):
-        votes[endings.get(w[-ENDING:], len(endings)), k] += c
-    votes[-1] += votes.sum(0)
-    votes[:, 0] = -1
-    by_ending = np.argmax(votes, axis=1)
-    later = np.array([by_ending[endings.get(w[-ENDING:], len(endings))] for w in words[m - 1 :]], np.int64)
-    return np.concatenate([of, later, by_ending]), classes
+    return of, classes
+
+
+def _by_ending(words: list[bytes], counts: np.ndarray, of: np.ndarray, classes: int) -> Callable[[bytes], int]:
+    """The class that most of the words (as often as they occur) of an ending have; for other endings, that most words have."""
+    votes: dict[bytes, np.ndarray] = {}
+    total = np.zeros(classes)
+    for w, c, k in zip(words, counts, of):
+        votes.setdefault(w[-ENDING:], np.zeros(classes, np.int64))[k] += c
+        total[k] += c
+    total[0] = -1
+    other, best = int(np.argmax(total)), {e: int(np.argmax(v)) for e, v in votes.items()}
+    return lambda w: best.get(w[-ENDING:], other)
+
+
+class Rare:
+    """The words past the broadcast ones: their places and neighbours, by hash of the word, for all rounds."""
+
+    def __init__(self, tokens: DataFrame) -> None:
+        self.parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.places = tokens.where("kind = 1").select("word", "places").repartition(self.parts, "word").groupBy("word").agg(F.collect_list("places").alias("places")).persist(StorageLevel.DISK_ONLY)
+        self.beside = tokens.where("kind >= 2").select("near", "word", (F.col("kind") - 2).alias("side"), "row").repartition(self.parts, "near").persist(StorageLevel.DISK_ONLY)
+
+    def told(self, classes_of: DataFrame) -> DataFrame:
+        """(word, places, k, beside): with their classes, and for every rare neighbour 128 times its row's value + 64 if it follows + its class."""
+        of = classes_of.repartition(self.parts, "word")
+        near = self.beside.join(of.withColumnRenamed("word", "near"), "near")
+        value = F.col("row") * 128 + F.col("side") * 64 + F.when(F.col("near") == F.col("word"), ITSELF).otherwise(F.col("k"))
+        near = near.select("word", value.alias("v")).repartition(self.parts, "word").groupBy("word").agg(F.collect_list("v").alias("beside"))
+        return self.places.join(of, "word").join(near, "word", "left").select("word", "places", "k", "beside")
+
+    def close(self) -> None:
+        self.places.unpersist()
+        self.beside.unpersist()
+
+
+def _read(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of a batch of Rare.told(): k; the word and place of each place; the word, row's value, side and class of each rare neighbour."""
+    lists = b.column(1)
+    blobs = lists.flatten().to_pylist()
+    per_blob = np.array([len(x) // PLACE.itemsize for x in blobs], np.int64)
+    of_blob = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
+    beside = b.column(3)
+    values = np.asarray(beside.flatten(), np.int64)
+    lengths = np.asarray(beside.value_lengths().fill_null(0), np.int64)
+    return (np.asarray(b.column(2), np.int64), np.repeat(of_blob, per_blob), np.frombuffer(b"".join(blobs), PLACE),
+            np.repeat(np.arange(b.num_rows), lengths), values >> 7, values >> 6 & 1, values & 63)
+
+
+def _profiles(told: DataFrame, of: np.ndarray, classes: int) -> DataFrame:
+    """(word, k, n, cells) of every rare word of Rare.told(), and (chunk, sums) of each task.
+
+    cells: for the counts that aren't 0, (which << 40) + count, which being a class before, classes + one after, or 2 classes
+    for the word itself. sums: the known words' counts beside rare words in that layout, then the class bigrams that begin with a rare word.
+    """
+    wide = 2 * classes + 1
+    known = len(of)
+    size = known * wide + classes * classes
+    shared = told.sparkSession.sparkContext.broadcast(of)
+    names = ["word", "k", "n", "cells", "chunk", "sums"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        sums = np.zeros(-(-size // CHUNKS) * CHUNKS, np.int64)
+        for b in batches:
+            k, w, place, nw, value, side, near = _read(b)
+            m = b.num_rows
+            learnt = place["row"] & 1 == 1
+            w, left, right = w[learnt], place["left"][learnt], place["right"][learnt]
+            after, before = right >= 0, left >= 0
+            also = value & 1 == 1
+            itself = np.where(near == ITSELF, 2 * classes, near + classes * side)
+            cell = np.concatenate([w[before] * wide + of[left[before]], w[after] * wide + classes + of[right[after]], (nw * wide + itself)[also]])
+            counts = np.bincount(cell, minlength=m * wide).reshape(m, wide)
+            np.add.at(sums, np.concatenate([left[before] * wide + classes + k[w[before]], right[after] * wide + k[w[after]]]), 1)
+            joint = sums[known * wide : size].reshape(classes, classes)
+            np.add.at(joint, k, counts[:, classes : 2 * classes])
+            np.add.at(joint, (k, k), counts[:, -1])
+            at, which = np.nonzero(counts)
+            cells = _blobs((which.astype(np.int64) << 40) + counts[at, which], np.bincount(at, minlength=m))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k), pa.array(np.bincount(w, minlength=m)), cells, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+        out = _chunks(sums)
+        none = [pa.nulls(CHUNKS, t) for t in (pa.binary(), pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, *out.columns], names)
+
+    return told.mapInArrow(run, "word binary, k long, n long, cells binary, chunk int, sums binary")
+
+
+def _exchanged(profiles: DataFrame, joint: np.ndarray) -> DataFrame:
+    """(word, k): the rare words' classes after their moves; words that training hasn't stay."""
+    classes = len(joint)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, blobs = np.asarray(b.column(1), np.int64), b.column(2).to_pylist()
+            cells = np.frombuffer(b"".join(blobs), "<i8")
+            counts = np.zeros((len(k), 2 * classes + 1))
+            counts[np.repeat(np.arange(len(k)), [len(x) // 8 for x in blobs]), cells >> 40] = cells & (1 << 40) - 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_moved(joint, k, counts[:, classes:-1], counts[:, :classes], counts[:, -1]))], ["word", "k"])
+
+    return profiles.where("word IS NOT NULL").select("word", "k", "cells").mapInArrow(run, "word binary, k long")
+
+
+def likelihood(joint: np.ndarray) -> float:
+    """What exchange clustering raises: the log likelihood of the class bigrams but for a part that classes don't change."""
+    return float(_h(joint).sum() - _h(joint.sum(1)).sum() - _h(joint.sum(0)).sum())
+
+
+def _learn(tokens: DataFrame, rare: Rare, words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, DataFrame, np.ndarray, list[float]]:
+    """The classes of the end and the known words; (word, k, n) of all rare words; the class bigrams; each round's likelihood.
+
+    Rounds of exchange over all words, broadcast or not: each moves to the class where it gains most, given the
+    classes of the round before. The round of the highest likelihood is the result.
+    """
+    spark, docs = tokens.sparkSession, tokens.where("kind = 0")
+    of, classes = _start(docs, words)
+    starts = _by_ending(words[: len(of) - 1], counts, of[1:], classes)
+    of = np.concatenate([of, np.array([starts(w) for w in words[len(of) - 1 :]], np.int64)])
+    wide = 2 * classes + 1
+
+    def by_ending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = _by_ending(*shared.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([start(w) for w in b.column(0).to_pylist()], pa.int64())], ["word", "k"])
+
+    shared = spark.sparkContext.broadcast((words, counts, of[1:], classes))
+    classes_of = durable(rare.places.select("word").mapInArrow(by_ending, "word binary, k long"))
+    best, seen = None, []
+    for sweep in range(SWEEPS + 1):
+        now, known = of, len(of)
+
+        def beside(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+            both = np.flatnonzero((x < known) & (p < known))  # noqa: B023
+            x, p = x[both], p[both]
+            own = x == p
+            to, x, p = x[own], x[~own], p[~own]
+            return np.concatenate([x * wide + now[p], p * wide + classes + now[x], to * wide + 2 * classes])  # noqa: B023
+
+        profiles = durable(_profiles(rare.told(classes_of), of, classes))
+        found = _total(profiles.where("chunk IS NOT NULL").select("chunk", "sums"), known * wide + classes * classes)
+        profile = tallied(docs.where("train"), known * wide, beside).reshape(known, wide) + found[: known * wide].reshape(known, wide)
+        joint = found[known * wide :].reshape(classes, classes).astype(float)
+        np.add.at(joint, of, profile[:, classes:-1])
+        np.add.at(joint, (of, of), profile[:, -1])
+        seen.append(likelihood(joint))
+        if best and seen[-1] <= max(seen[:-1]):
+            break
+        best = of, profiles.where("word IS NOT NULL").select("word", "k", "n"), joint
+        if sweep < SWEEPS:
+            of = np.concatenate([of[:1], _moved(joint, of[1:], profile[1:, classes:-1], profile[1:, :classes], profile[1:, -1])])
+            classes_of = durable(_exchanged(profiles, joint))
+    return *best, seen
 
 
 def held_out(id_column: Column, parts: int, part: int) -> Column:
@@ -253,42 +506,28 @@ def score(docs: DataFrame, is_held_out: Column, id_col: str = "doc_id", text_col
     n_ends = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words, n = [bytes(r.word) for r in top], np.array([r.n for r in top], np.int64)
     table = {w: i + 1 for i, w in enumerate(words)} | {END: 0}
-    tails = Counter()
-    for w, c in zip(words, n):
-        tails[w[-ENDING:]] += int(c)
-    endings = {e: i for i, (e, _) in enumerate(tails.most_common(ENDINGS))}
-    tokens = durable(encoded(rows, table, endings))
-    of, classes = _learn(spark, tokens, words, n, endings)
-
-    def joined(x: np.ndarray) -> np.ndarray:
-        c = of[x]
-        return _previous(c) * classes + c
-
-    joint = tallied(tokens.where("train"), classes * classes, joined).reshape(classes, classes).astype(float)
+    tokens = durable(encoded(rows, table))
+    rare = Rare(tokens)
+    of, rare_of, joint, _ = _learn(tokens, rare, words, n)
+    classes = len(joint)
     in_class = joint.sum(0)
     n_words = len(words) + 1
-    # distinct words of each class: the known ones by their code, the rarer ones by their ending
-    kinds = np.bincount(of[:n_words], minlength=classes).astype(float)
-    if distinct > n_words:
-        shared = spark.sparkContext.broadcast((table, endings))
-
-        def endings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, ends = shared.value
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([ends.get(w[-ENDING:], len(ends)) for w in b.column(0).to_pylist() if w not in known], pa.int32())], ["e"])
-
-        for r in counts.select("word").mapInArrow(endings_of, "e int").groupBy("e").count().collect():
-            kinds[of[n_words + r.e]] += r["count"]
+    # distinct words of each class
+    kinds = np.bincount(of, minlength=classes).astype(float)
+    for r in rare_of.where("n > 0").groupBy("k").count().collect():
+        kinds[r.k] += r["count"]
     share = (in_class + 0.5) / (in_class.sum() + 0.5 * classes)
     move = np.log10((joint + PRIOR * share) / (joint.sum(1, keepdims=True) + PRIOR))
     room = np.log10(in_class + 0.5 * (kinds + 1))
-    known_log = np.zeros(len(of))
-    known_log[:n_words] = np.log10(np.concatenate([[n_ends], n]) + 0.5)
+    known_log = np.log10(np.concatenate([[n_ends], n]) + 0.5)
     base_room = float(np.log10(total + 0.5 * (distinct + 1)))
-    model = spark.sparkContext.broadcast((of, move, known_log, room[of], n_words, 0 if n_ends else 1))
+    model = spark.sparkContext.broadcast((of, move, known_log, room, 0 if n_ends else 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, step, known_log, room_of, n_words, first = model.value
+        of, step, known_log, room, first = model.value
+        # one code more stands for all rare words, which rare_run scores
+        of, known_log, less = np.append(of, len(step)), np.append(known_log, 0.0), np.append(room[of], 0.0)
+        step = np.pad(step, (0, 1))
         for b in batches:
             blobs = b.column(2).to_pylist()
             size = np.array([len(x) // 4 for x in blobs], np.int64)
@@ -297,18 +536,34 @@ def score(docs: DataFrame, is_held_out: Column, id_col: str = "doc_id", text_col
             x = np.frombuffer(b"".join(blobs), "<u4").astype(np.int64)
             starts = np.cumsum(size) - size
             c, own = of[x], known_log[x]
-            per = step[_previous(c), c] - room_of[x]  # every document ends with the end's class, which the next one's first token follows
+            per = step[_previous(c), c] - less[x]  # every document ends with the end's class, which the next one's first token follows
             add = lambda v: np.add.reduceat(v, starts)
             own_sum, known = add(own), add(((x >= first) & (x < n_words)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(size), pa.array(known), pa.array(own_sum - size * base_room), pa.array(own_sum + add(per))], ["row", "doc_id", "train", "n_tokens", "known", "base", "model"])
 
+    def rare_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, step, _, room, _ = model.value
+        for b in batches:
+            k, w, place, nw, value, side, near = _read(b)
+            own = np.bincount(w, place["row"] & 1, minlength=b.num_rows)  # how often training has the word
+            left, right, c = place["left"], place["right"], k[w]
+            per = np.where(left >= 0, step[of[left], c], 0) + np.where(right >= 0, step[c, of[right]], 0) - room[c]
+            follows = side == 0  # a bigram of two rare words counts with its second
+            nw, value, near = nw[follows], value[follows], near[follows]
+            near = np.where(near == ITSELF, k[nw], near)
+            row, at = np.unique(np.concatenate([place["row"], value]) >> 1, return_inverse=True)
+            add = lambda v: np.bincount(at[: len(v)], v, minlength=len(row))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(add(np.log10(own + 0.5)[w])), pa.array(add(np.concatenate([per, step[near, k[nw]]]))), pa.array(add((own > 0)[w]).astype(np.int64))], ["row", "own", "per", "known"])
+
+    rare_rows = rare.told(rare_of.select("word", "k")).mapInArrow(rare_run, "row long, own double, per double, known long")
+    rare_rows = durable(rare_rows.groupBy("row").agg(F.sum("own").alias("rare_own"), F.sum("per").alias("rare_per"), F.sum("known").alias("rare_known")))
+    rare.close()
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = tokens.select("row", "doc_id", "ids", "train").mapInArrow(run, f"row long, doc_id {kind}, train boolean, n_tokens long, known long, base double, model double")
-    rare = tokens.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("k"))
-    rare = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("rare_known"))
-    out = scored.join(rare, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
+    scored = tokens.where("kind = 0").select("row", "doc_id", "ids", "train").mapInArrow(run, f"row long, doc_id {kind}, train boolean, n_tokens long, known long, base double, model double")
+    out = scored.join(rare_rows, "row", "left")
+    none = F.lit(0.0)
+    base, whole = F.col("base") + F.coalesce("rare_own", none), F.col("model") + F.coalesce("rare_own", none) + F.coalesce("rare_per", none)
     return out.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"), F.pow(F.lit(10.0), -(F.col("model") + more) / F.col("n_tokens")).alias("perplexity"),
+        base.alias("base_score"), whole.alias("score"), F.pow(F.lit(10.0), -whole / F.col("n_tokens")).alias("perplexity"),
     )

@@ -126,6 +126,97 @@ def test_exchange_finds_classes():
     assert len(set(of[:6])) == len(set(of[6:])) == 1 and of[0] != of[6]
 
 
+def test_gains_are_those_of_the_likelihood():
+    """Of every word and class, with bigrams of a word with itself, against the likelihood counted anew."""
+    rng = np.random.default_rng(4)
+    for classes in (2, 5):
+        text = rng.integers(0, 14, 400)
+        pairs = np.zeros((14, 14), int)
+        np.add.at(pairs, (text[:-1], text[1:]), 1)
+        of = rng.integers(0, classes, 14)
+
+        def joint(of, pairs=pairs, classes=classes):
+            out = np.zeros((classes, classes))
+            np.add.at(out, (of[:, None].repeat(14, 1), of[None, :].repeat(14, 0)), pairs)
+            return out
+
+        member, own = np.eye(classes)[of], np.diag(pairs)
+        others = pairs - np.diag(own)
+        gain = brown.gains(joint(of), of, others @ member, others.T @ member, own)
+        for w in range(14):
+            moved = [brown.likelihood(joint(np.where(np.arange(14) == w, c, of))) for c in range(classes)]
+            assert np.allclose(gain[w] - gain[w, of[w]], np.array(moved) - moved[of[w]])
+
+
+def test_words_past_the_broadcast_ones_are_exchanged(spark, monkeypatch):
+    """Words of two kinds that alternate, rare ones among them: rare words of one ending and count score better in their own kind's places."""
+    monkeypatch.setattr(brown, "KNOWN", 12)
+    monkeypatch.setattr(brown, "CLASSES", 2)
+    rng = random.Random(5)
+    kinds = [[f"{k}{i}" for i in range(6)] for k in "ab"]
+    rare = [[f"{k}{i}xyz" for i in range(40)] for k in "pq"]
+
+    def text(odd, n=12):
+        words = [rng.choice(kinds[i % 2]) for i in range(n)]
+        for i, w in odd.items():
+            words[i] = w
+        return " ".join(words)
+
+    ids = iter(range(10_000))
+    train = lambda: next(i for i in ids if remainder(i, 5) != 1)
+    held = lambda: next(i for i in ids if remainder(i, 5) == 1)
+    rows = [(train(), text({2 + k: rare[k][i], 6 + k: rare[k][(i * 7 + 1) % 40]})) for k in (0, 1) for i in range(40) for _ in range(3)]
+    rows += [(train(), text({})) for _ in range(100)]
+    rows += [(train(), text({4 + k: rare[k][i], 5 + k: rare[1 - k][i]})) for k in (0, 1) for i in range(40)]  # rare words side by side
+    right = [(held(), f"a0 q{i}xyz a1 q{i + 1}xyz a2 b3") for i in range(30)]
+    wrong = [(held(), f"a0 p{i}xyz a1 p{i + 1}xyz a2 b3") for i in range(30)]
+    df = spark.createDataFrame(rows + right + wrong, "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r for r in rows_of(brown.score(df, brown.held_out(F.col("doc_id"), 5, 1)))}
+    for (a, _), (b, _) in zip(right, wrong):
+        assert out[a]["n_known"] == out[b]["n_known"] == 7 and abs(out[a]["base_score"] - out[b]["base_score"]) < 0.5
+        assert out[a]["score"] > out[b]["score"] + 2
+
+
+@pytest.mark.parametrize("which", ["docs", "odd_docs"])
+def test_model_by_hand(which, request, monkeypatch):
+    """Class bigrams and scores from the classes of all words, with most words joined and blocks of few words."""
+    for name, value in {"KNOWN": 50, "CLUSTERED": 30, "ASSIGNED": 40, "CLASSES": 6, "BLOCK": 3000, "BLOCK_WORDS": 300, "SLICE": 1000}.items():
+        monkeypatch.setattr(brown, name, value)
+    found, learn = [], brown._learn
+
+    def spy(tokens, rare, words, counts):
+        of, rare_of, joint, seen = learn(tokens, rare, words, counts)
+        classes = dict(zip([brown.END, *words], of.tolist())) | {bytes(r.word): r.k for r in rare_of.collect()}
+        found.append((classes, joint, seen))
+        return of, rare_of, joint, seen
+
+    monkeypatch.setattr(brown, "_learn", spy)
+    df = request.getfixturevalue(which)
+    rows = [(r.doc_id, tokens(r.text)) for r in df.collect()]
+    out = rows_of(brown.score(df, brown.held_out(F.col("doc_id"), 5, 1)))
+    of, joint, seen = found[0]
+    assert set(of) == {w for _, t in rows for w in t} and [w for w, k in of.items() if k == 0] == [brown.END]
+    want, count = np.zeros_like(joint), Counter()
+    for i, t in rows:
+        if remainder(i, 5) != 1:
+            count.update(t)
+            for a, b in zip([brown.END, *t], t):
+                want[of[a], of[b]] += 1
+    assert np.array_equal(joint, want) and math.isclose(brown.likelihood(want), max(seen)) and max(seen) > seen[0]
+    size = want.sum(0)
+    distinct = np.bincount([of[w] for w in count], minlength=len(size))
+    share = (size + 0.5) / (size.sum() + 0.5 * len(size))
+    step = (want + brown.PRIOR * share) / (want.sum(1, keepdims=True) + brown.PRIOR)
+
+    def by_hand(t):
+        return sum(math.log10(step[of[a], of[b]] * (count[b] + 0.5) / (size[of[b]] + 0.5 * (distinct[of[b]] + 1))) for a, b in zip([brown.END, *t], t))
+
+    key = lambda r: repr((r[0], r[1], round(r[2], 5)))
+    got = sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in out), key=key)
+    for a, b in zip(got, sorted(((i, len(t), by_hand(t)) for i, t in rows), key=key)):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 * max(1, abs(b[2]))
+
+
 def test_class_model_sums_to_one():
     """Emissions of a class, with one unseen word, and transitions are distributions."""
     joint = np.array([[0, 3, 1], [2, 5, 4], [2, 3, 0]], float)
