@@ -12,7 +12,9 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, durable, texts_of
+from quern.sources.scratch import new_path
+
+from .common import LOWER, texts_of
 
 #: Most frequent words that are broadcast, at most; the rarer ones' classes and counts are joined.
 KNOWN = 100_000
@@ -28,7 +30,7 @@ DISTINCT = 400_000
 END = b"\n"
 CHUNKS = 32
 #: Tokens and distinct rare words of which a task gathers the places before it passes them on.
-BLOCK, BLOCK_WORDS = 2_000_000, 200_000
+BLOCK, BLOCK_WORDS = 1_000_000, 200_000
 #: Tokens counted at once.
 SLICE = 1_000_000
 #: A rare word's place: twice the row, and one more in training; the codes of the words beside it, or -1 for rare ones.
@@ -39,6 +41,13 @@ ITSELF = 63
 PRIOR = 2.0
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Written to the folder that the cluster shares, smaller than by common's durable."""
+    path = new_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word binary, n): tokens of the whole texts (text), with one end token a row."""
 
@@ -71,8 +80,7 @@ def encoded(docs: DataFrame, table: dict[bytes, int]) -> DataFrame:
     """(kind, row, doc_id, train, ids, word, near, places) of three kinds.
 
     0: a document's token codes as four bytes each: 0 the end, then table's words, then one for all rarer ones.
-    1: a rarer word and some of its places. 2, 3: a rarer word, another one before (2) or after (3) it, and twice
-    the row, with one more in training, as row; those after it in training only, a word after itself not at all.
+    1: a rarer word and some of its places. 2: a rarer word, the rarer one before it, and as row twice the row, with one more in training.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(table)
@@ -80,10 +88,16 @@ def encoded(docs: DataFrame, table: dict[bytes, int]) -> DataFrame:
     names = ["kind", "row", "doc_id", "train", "ids", "word", "near", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = shared.value
-        rare, get = len(codes), codes.get
-        row = TaskContext.get().partitionId() << 32
+        rare = len(shared.value)
         local: dict[bytes, int] = {}
+
+        class Codes(dict):
+            def __missing__(self, word: bytes) -> int:
+                code = self[word] = rare + local.setdefault(word, len(local))
+                return code
+
+        codes = Codes(shared.value)
+        row, get = TaskContext.get().partitionId() << 32, codes.__getitem__
         held: list[tuple[int, np.ndarray]] = []
         tokens, id_type = 0, None
 
@@ -92,10 +106,10 @@ def encoded(docs: DataFrame, table: dict[bytes, int]) -> DataFrame:
             return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, types[c])) for c in names], names)
 
         def placed() -> Iterator[pa.RecordBatch]:
-            x = np.concatenate([ids for _, ids in held]).astype(np.int64)
+            x = np.concatenate([ids for _, ids in held]).astype(np.int32)
             of_row = np.repeat(np.array([r for r, _ in held], np.int64), [len(ids) for _, ids in held])
             words = pa.array(list(local), pa.binary())
-            left, right = _previous(x), np.append(x[1:], 0)
+            left, right = np.append(np.int32(0), x[:-1]), np.append(x[1:], np.int32(0))
             at = np.flatnonzero(x >= rare)
             at = at[np.argsort(x[at], kind="stable")]
             places = np.empty(len(at), PLACE)
@@ -107,28 +121,20 @@ def encoded(docs: DataFrame, table: dict[bytes, int]) -> DataFrame:
                 first = int(sizes[:i].sum())
                 yield rows(m, kind=pa.array(np.full(m, 1, np.int32)), word=words.slice(i, m), places=_blobs(places[first : first + int(sizes[i : i + m].sum())], sizes[i : i + m]))
             to = np.flatnonzero((x >= rare) & (left >= rare))
-            after = to[(of_row[to] & 1 == 1) & (x[to] != left[to])]
-            for side, w, near, r in ((2, x[to], left[to], of_row[to]), (3, left[after], x[after], of_row[after])):
-                if len(w):
-                    yield rows(len(w), kind=pa.array(np.full(len(w), side, np.int32)), row=pa.array(r), word=words.take(pa.array(w - rare)), near=words.take(pa.array(near - rare)))
+            if len(to):
+                yield rows(len(to), kind=pa.array(np.full(len(to), 2, np.int32)), row=pa.array(of_row[to]), word=words.take(pa.array(x[to] - rare)), near=words.take(pa.array(left[to] - rare)))
             held.clear()
+            for w in local:
+                del codes[w]
             local.clear()
 
         for b in batches:
             id_type = b.column(0).type
             ids = []
             for t, train in zip(texts_of(b.column(1)), b.column(2).to_pylist()):
-                words = t.translate(LOWER).split()
-                found = list(map(get, words))
-                odd = None in found
-                if odd:
-                    for i, c in enumerate(found):
-                        if c is None:
-                            found[i] = rare + local.setdefault(words[i], len(local))
-                found.append(0)
-                x = np.array(found, "<u4")
-                ids.append(np.minimum(x, rare).astype("<u4").tobytes())
-                if odd:
+                x = np.array([*map(get, t.translate(LOWER).split()), 0], "<u4")
+                ids.append(np.minimum(x, np.uint32(rare)).tobytes())
+                if x.max() >= rare:
                     held.append((2 * row + bool(train), x))
                     tokens += len(x)
                 row += 1
@@ -150,7 +156,7 @@ def _steps(sizes: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
 
 def _chunks(sums: np.ndarray) -> pa.RecordBatch:
     """(chunk, sums): an array of a multiple of CHUNKS cells, by CHUNKS parts."""
-    blobs = [zlib.compress(x.tobytes(), 1) for x in sums.astype(np.int64).reshape(CHUNKS, -1)]
+    blobs = [zlib.compress(x.astype(np.int64).tobytes(), 1) for x in sums.reshape(CHUNKS, -1)]
     return pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "sums"])
 
 
@@ -176,7 +182,7 @@ def tallied(tokens: DataFrame, size: int, cells: Callable[[np.ndarray, np.ndarra
     width = -(-size // CHUNKS)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(width * CHUNKS, np.int64)
+        sums = np.zeros(width * CHUNKS, np.int32)
         for b in batches:
             x = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4")
             for i in range(0, len(x), SLICE):
@@ -342,13 +348,20 @@ class Rare:
     def __init__(self, tokens: DataFrame) -> None:
         self.parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.places = tokens.where("kind = 1").select("word", "places").repartition(self.parts, "word").groupBy("word").agg(F.collect_list("places").alias("places")).persist(StorageLevel.DISK_ONLY)
-        self.beside = tokens.where("kind >= 2").select("near", "word", (F.col("kind") - 2).alias("side"), "row").repartition(self.parts, "near").persist(StorageLevel.DISK_ONLY)
+        pairs = tokens.where("kind = 2")
+        before = pairs.select("near", "word", F.lit(0).alias("side"), "row")
+        after = pairs.where("row % 2 = 1 AND near <> word").select(F.col("word").alias("near"), F.col("near").alias("word"), F.lit(1).alias("side"), "row")
+        self.beside = before.unionByName(after).repartition(self.parts, "near").persist(StorageLevel.DISK_ONLY)
+
+    def told(self, classes_of: DataFrame, learn: bool) -> DataFrame:
+        """(word, places, k, beside): with their classes, and for rare neighbours 128 times the row's value + 64 if it follows + its class.
 
-    def told(self, classes_of: DataFrame) -> DataFrame:
-        """(word, places, k, beside): with their classes, and for every rare neighbour 128 times its row's value + 64 if it follows + its class."""
+        To learn, the neighbours are those in training, and 1 stands for the row's value; else those before the word.
+        """
         of = classes_of.repartition(self.parts, "word")
-        near = self.beside.join(of.withColumnRenamed("word", "near"), "near")
-        value = F.col("row") * 128 + F.col("side") * 64 + F.when(F.col("near") == F.col("word"), ITSELF).otherwise(F.col("k"))
+        near = self.beside.where("row % 2 = 1" if learn else "side = 0").join(of.withColumnRenamed("word", "near"), "near")
+        row = F.lit(1).cast("long") if learn else F.col("row")
+        value = row * 128 + F.col("side") * 64 + F.when(F.col("near") == F.col("word"), ITSELF).otherwise(F.col("k"))
         near = near.select("word", value.alias("v")).repartition(self.parts, "word").groupBy("word").agg(F.collect_list("v").alias("beside"))
         return self.places.join(of, "word").join(near, "word", "left").select("word", "places", "k", "beside")
 
@@ -384,7 +397,7 @@ def _profiles(told: DataFrame, of: np.ndarray, classes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
-        sums = np.zeros(-(-size // CHUNKS) * CHUNKS, np.int64)
+        sums = np.zeros(-(-size // CHUNKS) * CHUNKS, np.int32)
         for b in batches:
             k, w, place, nw, value, side, near = _read(b)
             m = b.num_rows
@@ -397,8 +410,8 @@ def _profiles(told: DataFrame, of: np.ndarray, classes: int) -> DataFrame:
             counts = np.bincount(cell, minlength=m * wide).reshape(m, wide)
             np.add.at(sums, np.concatenate([left[before] * wide + classes + k[w[before]], right[after] * wide + k[w[after]]]), 1)
             joint = sums[known * wide : size].reshape(classes, classes)
-            np.add.at(joint, k, counts[:, classes : 2 * classes])
-            np.add.at(joint, (k, k), counts[:, -1])
+            np.add.at(joint, k, counts[:, classes : 2 * classes].astype(np.int32))
+            np.add.at(joint, (k, k), counts[:, -1].astype(np.int32))
             at, which = np.nonzero(counts)
             cells = _blobs((which.astype(np.int64) << 40) + counts[at, which], np.bincount(at, minlength=m))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k), pa.array(np.bincount(w, minlength=m)), cells, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
@@ -447,7 +460,7 @@ def _learn(tokens: DataFrame, rare: Rare, words: list[bytes], counts: np.ndarray
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([start(w) for w in b.column(0).to_pylist()], pa.int64())], ["word", "k"])
 
     shared = spark.sparkContext.broadcast((words, counts, of[1:], classes))
-    classes_of = durable(rare.places.select("word").mapInArrow(by_ending, "word binary, k long"))
+    classes_of = _kept(rare.places.select("word").mapInArrow(by_ending, "word binary, k long"))
     best, seen = None, []
     for sweep in range(SWEEPS + 1):
         now, known = of, len(of)
@@ -459,9 +472,10 @@ def _learn(tokens: DataFrame, rare: Rare, words: list[bytes], counts: np.ndarray
             to, x, p = x[own], x[~own], p[~own]
             return np.concatenate([x * wide + now[p], p * wide + classes + now[x], to * wide + 2 * classes])  # noqa: B023
 
-        profiles = durable(_profiles(rare.told(classes_of), of, classes))
+        profiles = _kept(_profiles(rare.told(classes_of, True), of, classes))
         found = _total(profiles.where("chunk IS NOT NULL").select("chunk", "sums"), known * wide + classes * classes)
-        profile = tallied(docs.where("train"), known * wide, beside).reshape(known, wide) + found[: known * wide].reshape(known, wide)
+        profile = found[: known * wide].reshape(known, wide)
+        profile += tallied(docs.where("train"), known * wide, beside).reshape(known, wide)
         joint = found[known * wide :].reshape(classes, classes).astype(float)
         np.add.at(joint, of, profile[:, classes:-1])
         np.add.at(joint, (of, of), profile[:, -1])
@@ -471,7 +485,7 @@ def _learn(tokens: DataFrame, rare: Rare, words: list[bytes], counts: np.ndarray
         best = of, profiles.where("word IS NOT NULL").select("word", "k", "n"), joint
         if sweep < SWEEPS:
             of = np.concatenate([of[:1], _moved(joint, of[1:], profile[1:, classes:-1], profile[1:, :classes], profile[1:, -1])])
-            classes_of = durable(_exchanged(profiles, joint))
+            classes_of = _kept(_exchanged(profiles, joint))
     return *best, seen
 
 
@@ -492,7 +506,7 @@ def score(docs: DataFrame, is_held_out: Column, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (~is_held_out).alias("train"))
-    counts = durable(word_counts(rows.where("train")))
+    counts = _kept(word_counts(rows.where("train")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # the words of the highest counts, by a threshold that at most KNOWN words reach: no task sends the driver more than its share of these
     steps = counts.where(F.col("word") != F.lit(END)).groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
@@ -506,7 +520,7 @@ def score(docs: DataFrame, is_held_out: Column, id_col: str = "doc_id", text_col
     n_ends = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words, n = [bytes(r.word) for r in top], np.array([r.n for r in top], np.int64)
     table = {w: i + 1 for i, w in enumerate(words)} | {END: 0}
-    tokens = durable(encoded(rows, table))
+    tokens = _kept(encoded(rows, table))
     rare = Rare(tokens)
     of, rare_of, joint, _ = _learn(tokens, rare, words, n)
     classes = len(joint)
@@ -544,19 +558,18 @@ def score(docs: DataFrame, is_held_out: Column, id_col: str = "doc_id", text_col
     def rare_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, step, _, room, _ = model.value
         for b in batches:
-            k, w, place, nw, value, side, near = _read(b)
+            k, w, place, nw, value, _, near = _read(b)
             own = np.bincount(w, place["row"] & 1, minlength=b.num_rows)  # how often training has the word
             left, right, c = place["left"], place["right"], k[w]
             per = np.where(left >= 0, step[of[left], c], 0) + np.where(right >= 0, step[c, of[right]], 0) - room[c]
-            follows = side == 0  # a bigram of two rare words counts with its second
-            nw, value, near = nw[follows], value[follows], near[follows]
+            # a bigram of two rare words counts with its second
             near = np.where(near == ITSELF, k[nw], near)
             row, at = np.unique(np.concatenate([place["row"], value]) >> 1, return_inverse=True)
             add = lambda v: np.bincount(at[: len(v)], v, minlength=len(row))  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(add(np.log10(own + 0.5)[w])), pa.array(add(np.concatenate([per, step[near, k[nw]]]))), pa.array(add((own > 0)[w]).astype(np.int64))], ["row", "own", "per", "known"])
 
-    rare_rows = rare.told(rare_of.select("word", "k")).mapInArrow(rare_run, "row long, own double, per double, known long")
-    rare_rows = durable(rare_rows.groupBy("row").agg(F.sum("own").alias("rare_own"), F.sum("per").alias("rare_per"), F.sum("known").alias("rare_known")))
+    rare_rows = rare.told(rare_of.select("word", "k"), False).mapInArrow(rare_run, "row long, own double, per double, known long")
+    rare_rows = _kept(rare_rows.groupBy("row").agg(F.sum("own").alias("rare_own"), F.sum("per").alias("rare_per"), F.sum("known").alias("rare_known")))
     rare.close()
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = tokens.where("kind = 0").select("row", "doc_id", "ids", "train").mapInArrow(run, f"row long, doc_id {kind}, train boolean, n_tokens long, known long, base double, model double")
