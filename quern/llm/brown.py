@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.sources.scratch import new_path
 
-from .common import LOWER, texts_of
+from .common import LOWER as LOWER
 
 #: Most frequent words that are broadcast, at most; the rarer ones' classes and counts are joined.
 KNOWN = 100_000
@@ -31,6 +30,10 @@ END = b"\n"
 CHUNKS = 32
 #: Tokens and distinct rare words of which a task gathers the places before it passes them on.
 BLOCK, BLOCK_WORDS = 1_000_000, 200_000
+#: Bytes of texts that are split into words at once, but for longer texts.
+TEXT_BYTES = 4 << 20
+#: In the type of the sums, as np.add.at converts others one by one.
+ONE = np.int32(1)
 #: Tokens counted at once.
 SLICE = 1_000_000
 #: A rare word's place: twice the row, and one more in training; the codes of the words beside it, or -1 for rare ones.
@@ -41,31 +44,62 @@ ITSELF = 63
 PRIOR = 2.0
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def _kept(df: DataFrame, path: str | None = None) -> DataFrame:
     """Written to the folder that the cluster shares, smaller than by common's durable."""
-    path = new_path(df.sparkSession)
+    path = path or new_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _removed(spark: SparkSession, *paths: str) -> None:
+    """Takes the room of tables back that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def _words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """Of a string column, by about TEXT_BYTES: the first row, how many words it and the next rows have, all their words lower-cased. Null is empty."""
+    texts = column.cast(pa.large_string()).fill_null("")
+    ends = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+    i = 0
+    while i < len(texts):
+        end = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TEXT_BYTES, "right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(i, end - i)))  # byte for byte as bytes.split()
+        words = lists.flatten()
+        some = pc.not_equal(words, pa.scalar("", words.type))  # there are empty ones where a text begins or ends with white space
+        before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+        yield i, np.diff(before[np.asarray(lists.offsets)]), words.filter(some).view(pa.large_binary())
+        i = end
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word binary, n): tokens of the whole texts (text), with one end token a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            words, n = list(tally), list(tally.values())
-            tally.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+        held: list[pa.Table] = []
+        n_held = n_ends = 0
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        def out(tally: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from tally.set_column(0, "word", tally["word"].cast(pa.binary())).to_batches()
 
-        tally: Counter = Counter()
         for b in batches:
-            for t in texts_of(b.column(0)):
-                tally.update(t.translate(LOWER).split())
-                tally[END] += 1
-                if len(tally) >= DISTINCT:
-                    yield out()
-        if tally:
-            yield out()
+            for _, sizes, words in _words(b.column(0)):
+                found = pc.value_counts(words)
+                held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+                n_held, n_ends = n_held + len(found), n_ends + len(sizes)
+                if n_held >= 2 * DISTINCT:
+                    held = [merged()]
+                    n_held = len(held[0])
+                    if n_held >= DISTINCT:
+                        yield from out(held.pop())
+                        n_held = 0
+        if n_ends:
+            held.append(pa.table({"word": pa.array([END], pa.large_binary()), "n": pa.array([n_ends], pa.int64())}))
+            yield from out(merged())
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -83,66 +117,63 @@ def encoded(docs: DataFrame, table: dict[bytes, int]) -> DataFrame:
     1: a rarer word and some of its places. 2: a rarer word, the rarer one before it, and as row twice the row, with one more in training.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(table)
+    shared = spark.sparkContext.broadcast(sorted(table, key=table.__getitem__))
     kind = docs.schema["doc_id"].dataType
     names = ["kind", "row", "doc_id", "train", "ids", "word", "near", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = len(shared.value)
-        local: dict[bytes, int] = {}
-
-        class Codes(dict):
-            def __missing__(self, word: bytes) -> int:
-                code = self[word] = rare + local.setdefault(word, len(local))
-                return code
-
-        codes = Codes(shared.value)
-        row, get = TaskContext.get().partitionId() << 32, codes.__getitem__
-        held: list[tuple[int, np.ndarray]] = []
-        tokens, id_type = 0, None
+        known = pa.array(shared.value, pa.large_binary())
+        rare, row = len(known), TaskContext.get().partitionId() << 32
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # twice the rows, one more in training; codes, those of rare words as places in local
+        local: list[pa.Array] = []
+        tokens, n_local, id_type = 0, 0, None
 
         def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
             types = dict(zip(names, (pa.int32(), pa.int64(), id_type, pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())))
             return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, types[c])) for c in names], names)
 
         def placed() -> Iterator[pa.RecordBatch]:
-            x = np.concatenate([ids for _, ids in held]).astype(np.int32)
-            of_row = np.repeat(np.array([r for r, _ in held], np.int64), [len(ids) for _, ids in held])
-            words = pa.array(list(local), pa.binary())
+            x, of_row = np.concatenate([x for _, x in held]), np.concatenate([r for r, _ in held])
+            each = pa.concat_arrays(local).dictionary_encode()  # a word once, though several texts' parts have it
+            words = each.dictionary.cast(pa.binary())
             left, right = np.append(np.int32(0), x[:-1]), np.append(x[1:], np.int32(0))
-            at = np.flatnonzero(x >= rare)
-            at = at[np.argsort(x[at], kind="stable")]
+            at, to = np.flatnonzero(x >= rare), np.flatnonzero((x >= rare) & (left >= rare))
+            of = np.asarray(each.indices)
+            word = of[x[at] - rare]
+            order = np.argsort(word, kind="stable")
+            at, sizes = at[order], np.bincount(word, minlength=len(words))
             places = np.empty(len(at), PLACE)
             places["row"] = of_row[at]
             places["left"] = np.where(left[at] < rare, left[at], -1)
             places["right"] = np.where(right[at] < rare, right[at], -1)
-            sizes = np.bincount(x[at] - rare, minlength=len(local))
             for i, m in _steps(sizes, BLOCK_WORDS):
                 first = int(sizes[:i].sum())
                 yield rows(m, kind=pa.array(np.full(m, 1, np.int32)), word=words.slice(i, m), places=_blobs(places[first : first + int(sizes[i : i + m].sum())], sizes[i : i + m]))
-            to = np.flatnonzero((x >= rare) & (left >= rare))
             if len(to):
-                yield rows(len(to), kind=pa.array(np.full(len(to), 2, np.int32)), row=pa.array(of_row[to]), word=words.take(pa.array(x[to] - rare)), near=words.take(pa.array(left[to] - rare)))
+                yield rows(len(to), kind=pa.array(np.full(len(to), 2, np.int32)), row=pa.array(of_row[to]), word=words.take(pa.array(of[x[to] - rare])), near=words.take(pa.array(of[left[to] - rare])))
             held.clear()
-            for w in local:
-                del codes[w]
             local.clear()
 
         for b in batches:
             id_type = b.column(0).type
-            ids = []
-            for t, train in zip(texts_of(b.column(1)), b.column(2).to_pylist()):
-                x = np.array([*map(get, t.translate(LOWER).split()), 0], "<u4")
-                ids.append(np.minimum(x, np.uint32(rare)).tobytes())
-                if x.max() >= rare:
-                    held.append((2 * row + bool(train), x))
-                    tokens += len(x)
-                row += 1
-                if tokens >= BLOCK or len(local) >= BLOCK_WORDS:
+            train = np.array([bool(t) for t in b.column(2).to_pylist()], np.int64)
+            for i, sizes, words in _words(b.column(1)):
+                n, each = len(sizes), words.dictionary_encode()
+                codes = np.asarray(pc.index_in(each.dictionary, value_set=known).fill_null(rare))
+                others = codes == rare
+                x = np.zeros(len(words) + n, np.int32)
+                is_word = np.ones(len(x), bool)
+                is_word[np.cumsum(sizes + 1) - 1] = False
+                x[is_word] = np.where(others, rare + n_local + np.cumsum(others) - 1, codes)[np.asarray(each.indices)]
+                yield rows(n, kind=pa.array(np.zeros(n, np.int32)), row=pa.array(np.arange(row, row + n)), doc_id=b.column(0).slice(i, n), train=b.column(2).slice(i, n), ids=_blobs(np.minimum(x, rare).astype("<u4"), sizes + 1))
+                if others.any():
+                    held.append((np.repeat(2 * np.arange(row, row + n) + train[i : i + n], sizes + 1), x))
+                    local.append(each.dictionary.filter(pa.array(others)))
+                    tokens, n_local = tokens + len(x), n_local + int(others.sum())
+                row += n
+                if tokens >= BLOCK or n_local >= BLOCK_WORDS:
                     yield from placed()
-                    tokens = 0
-            n = len(ids)
-            yield rows(n, kind=pa.array(np.zeros(n, np.int32)), row=pa.array(np.arange(row - n, row)), doc_id=b.column(0), train=b.column(2), ids=pa.array(ids, pa.binary()))
+                    tokens = n_local = 0
         if held:
             yield from placed()
 
@@ -154,9 +185,26 @@ def _steps(sizes: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
         yield i, min(step, len(sizes) - i)
 
 
+def _packed(sums: np.ndarray) -> bytes:
+    """Sums that are 0 for the most part: how many aren't, the steps between their places and they themselves, byte by byte and compressed."""
+    at = np.flatnonzero(sums)
+    parts = np.diff(at, prepend=0), sums[at]
+    planes = b"".join(np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in parts)
+    return len(at).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+
+
+def _unpacked(blob: bytes, size: int) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob[8:], 16 * n), np.uint8).reshape(2, 8, n)
+    steps, sums = (np.ascontiguousarray(x.T).view("<i8").reshape(-1) for x in planes)
+    out = np.zeros(size, np.int64)
+    out[np.cumsum(steps)] = sums
+    return out
+
+
 def _chunks(sums: np.ndarray) -> pa.RecordBatch:
     """(chunk, sums): an array of a multiple of CHUNKS cells, by CHUNKS parts."""
-    blobs = [zlib.compress(x.astype(np.int64).tobytes(), 1) for x in sums.reshape(CHUNKS, -1)]
+    blobs = [_packed(x) for x in sums.reshape(CHUNKS, -1)]
     return pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "sums"])
 
 
@@ -167,13 +215,14 @@ def _total(parts: DataFrame, size: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(zlib.decompress(blob), np.int64)
+                x = _unpacked(blob, width)
                 total[chunk] = total[chunk] + x if chunk in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["chunk", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_packed(x) for x in total.values()], pa.binary())], ["chunk", "sums"])
 
-    out = np.zeros((CHUNKS, -(-size // CHUNKS)), np.int64)
+    width = -(-size // CHUNKS)
+    out = np.zeros((CHUNKS, width), np.int64)
     for r in parts.repartition("chunk").mapInArrow(merge, "chunk int, sums binary").collect():
-        out[r.chunk] = np.frombuffer(zlib.decompress(r.sums), np.int64)
+        out[r.chunk] = _unpacked(r.sums, width)
     return out.reshape(-1)[:size]
 
 
@@ -187,7 +236,7 @@ def tallied(tokens: DataFrame, size: int, cells: Callable[[np.ndarray, np.ndarra
             x = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4")
             for i in range(0, len(x), SLICE):
                 part = x[i : i + SLICE].astype(np.int64)
-                np.add.at(sums, cells(part, _previous(part, int(x[i - 1]) if i else 0)), 1)
+                np.add.at(sums, cells(part, _previous(part, int(x[i - 1]) if i else 0)), ONE)
         yield _chunks(sums)
 
     return _total(tokens.select("ids").mapInArrow(partial, "chunk int, sums binary"), size)
@@ -263,25 +312,34 @@ def gains(joint: np.ndarray, of: np.ndarray, out: np.ndarray, back: np.ndarray,
     """
     each = np.arange(len(of))
     gain = np.zeros(out.shape)
+    # most words are rare, so that their counts are few and small: terms are worked out for each count once, but where the word's own are to be taken off
     for sums, n in ((joint.sum(1), out.sum(1) + own), (joint.sum(0), back.sum(1) + own)):
-        rest = np.tile(sums, (len(of), 1))
-        rest[each, of] -= n
-        gain -= _h(rest + n[:, None]) - _h(rest)
+        size, of_size = np.unique(n, return_inverse=True)
+        terms = (_h(sums + size[:, None]) - _h(sums))[of_size]
+        terms[each, of] = _h(sums[of]) - _h(sums[of] - n)
+        gain -= terms
     for mine, other, cells in ((out, back, joint), (back, out, joint.T)):
         w, d = np.nonzero(mine)
         if not len(w):
             continue
         n, k = mine[w, d], of[w]
-        rest = cells.T[d].astype(float)  # of each count: the cells of all classes with its class, then without the word
-        rest[np.arange(len(w)), k] -= n
-        same = np.flatnonzero(d == k)
-        rest[same] -= other[w[same]]
-        rest[same, k[same]] -= own[w[same]]
+        size, of_size = np.unique(n, return_inverse=True)
+        pair, of_pair = np.unique(of_size * len(joint) + d, return_inverse=True)
+        rest = cells.T[pair % len(joint)].astype(float)  # of each count: the cells of all classes with its class
+        terms = (_h(rest + size[pair // len(joint)][:, None]) - _h(rest))[of_pair]
+        cell = cells[k, d].astype(float)
+        terms[np.arange(len(w)), k] = _h(cell) - _h(cell - n)
+        same = np.flatnonzero(d == k)  # here all cells have counts of the word
+        rest = cells.T[d[same]].astype(float) - other[w[same]]
+        rest[np.arange(len(same)), k[same]] -= n[same] + own[w[same]]
+        terms[same] = _h(rest + n[same, None]) - _h(rest)
         starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        gain[w[starts]] += np.add.reduceat(_h(rest + n[:, None]) - _h(rest), starts, axis=0)
-    both = np.tile(np.diag(joint).astype(float), (len(of), 1))
-    both[each, of] -= out[each, of] + back[each, of] + own
-    return gain + _h(both + out + back + own[:, None]) - _h(both + out) - _h(both + back) + _h(both)
+        gain[w[starts]] += np.add.reduceat(terms, starts, axis=0)
+    # the class's cell with itself gets both, and the word's pairs with itself; where one is all there is, nothing is to be added
+    w, c = np.nonzero((out > 0) & (back > 0) | (own > 0)[:, None])
+    both = np.diag(joint).astype(float)[c] - np.where(c == of[w], out[w, c] + back[w, c] + own[w], 0)
+    gain[w, c] += _h(both + out[w, c] + back[w, c] + own[w]) - _h(both + out[w, c]) - _h(both + back[w, c]) + _h(both)
+    return gain
 
 
 def _moved(joint: np.ndarray, of: np.ndarray, out: np.ndarray, back: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -408,7 +466,7 @@ def _profiles(told: DataFrame, of: np.ndarray, classes: int) -> DataFrame:
             itself = np.where(near == ITSELF, 2 * classes, near + classes * side)
             cell = np.concatenate([w[before] * wide + of[left[before]], w[after] * wide + classes + of[right[after]], (nw * wide + itself)[also]])
             counts = np.bincount(cell, minlength=m * wide).reshape(m, wide)
-            np.add.at(sums, np.concatenate([left[before] * wide + classes + k[w[before]], right[after] * wide + k[w[after]]]), 1)
+            np.add.at(sums, np.concatenate([left[before] * wide + classes + k[w[before]], right[after] * wide + k[w[after]]]), ONE)
             joint = sums[known * wide : size].reshape(classes, classes)
             np.add.at(joint, k, counts[:, classes : 2 * classes].astype(np.int32))
             np.add.at(joint, (k, k), counts[:, -1].astype(np.int32))
@@ -460,8 +518,9 @@ def _learn(tokens: DataFrame, rare: Rare, words: list[bytes], counts: np.ndarray
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([start(w) for w in b.column(0).to_pylist()], pa.int64())], ["word", "k"])
 
     shared = spark.sparkContext.broadcast((words, counts, of[1:], classes))
-    classes_of = _kept(rare.places.select("word").mapInArrow(by_ending, "word binary, k long"))
-    best, seen = None, []
+    classes_at = new_path(spark)
+    classes_of = _kept(rare.places.select("word").mapInArrow(by_ending, "word binary, k long"), classes_at)
+    best, best_at, seen = None, [], []
     for sweep in range(SWEEPS + 1):
         now, known = of, len(of)
 
@@ -472,7 +531,9 @@ def _learn(tokens: DataFrame, rare: Rare, words: list[bytes], counts: np.ndarray
             to, x, p = x[own], x[~own], p[~own]
             return np.concatenate([x * wide + now[p], p * wide + classes + now[x], to * wide + 2 * classes])  # noqa: B023
 
-        profiles = _kept(_profiles(rare.told(classes_of, True), of, classes))
+        profiles, profiles_at = _profiles(rare.told(classes_of, True), of, classes), new_path(spark)
+        profiles = _kept(profiles if sweep < SWEEPS else profiles.drop("cells"), profiles_at)  # cells are for a next round
+        _removed(spark, classes_at)
         found = _total(profiles.where("chunk IS NOT NULL").select("chunk", "sums"), known * wide + classes * classes)
         profile = found[: known * wide].reshape(known, wide)
         profile += tallied(docs.where("train"), known * wide, beside).reshape(known, wide)
@@ -481,11 +542,15 @@ def _learn(tokens: DataFrame, rare: Rare, words: list[bytes], counts: np.ndarray
         np.add.at(joint, (of, of), profile[:, -1])
         seen.append(likelihood(joint))
         if best and seen[-1] <= max(seen[:-1]):
+            _removed(spark, profiles_at)
             break
+        _removed(spark, *best_at)
+        best_at = [profiles_at]
         best = of, profiles.where("word IS NOT NULL").select("word", "k", "n"), joint
         if sweep < SWEEPS:
             of = np.concatenate([of[:1], _moved(joint, of[1:], profile[1:, classes:-1], profile[1:, :classes], profile[1:, -1])])
-            classes_of = _kept(_exchanged(profiles, joint))
+            classes_at = new_path(spark)
+            classes_of = _kept(_exchanged(profiles, joint), classes_at)
     return *best, seen
 
 
@@ -506,7 +571,8 @@ def score(docs: DataFrame, is_held_out: Column, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), (~is_held_out).alias("train"))
-    counts = _kept(word_counts(rows.where("train")))
+    counts_at = new_path(spark)
+    counts = _kept(word_counts(rows.where("train")), counts_at)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # the words of the highest counts, by a threshold that at most KNOWN words reach: no task sends the driver more than its share of these
     steps = counts.where(F.col("word") != F.lit(END)).groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()
@@ -518,6 +584,7 @@ def score(docs: DataFrame, is_held_out: Column, id_col: str = "doc_id", text_col
         least = step.least
     top = sorted(counts.where((F.col("word") != F.lit(END)) & (F.col("n") >= least)).collect(), key=lambda r: (-r.n, bytes(r.word)))
     n_ends = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    _removed(spark, counts_at)
     words, n = [bytes(r.word) for r in top], np.array([r.n for r in top], np.int64)
     table = {w: i + 1 for i, w in enumerate(words)} | {END: 0}
     tokens = _kept(encoded(rows, table))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,33 @@ def test_model_by_hand(which, request, monkeypatch):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 * max(1, abs(b[2]))
 
 
+def test_model_leaves_no_tables_of_its_rounds(spark, docs, tmp_path, monkeypatch):
+    """Of all it writes to the shared folder, tokens, the best round's rare words and their rows stay; sums are sent without their zeros."""
+    monkeypatch.setattr(brown, "KNOWN", 50)
+    monkeypatch.setattr(brown, "CLASSES", 6)
+    names = (f"file://{tmp_path}/quern-{i}" for i in range(100))
+    monkeypatch.setattr(brown, "new_path", lambda spark: next(names))
+    rows_of(brown.score(docs, brown.held_out(F.col("doc_id"), 5, 1)))
+    assert len(list(tmp_path.glob("quern-*"))) == 3
+    sums = np.zeros(brown.CHUNKS * 30_000, np.int32)
+    sums[::300] = np.arange(3200)
+    chunks = brown._chunks(sums)
+    assert sum(map(len, chunks.column(1).to_pylist())) < 2 * 3200
+    assert np.array_equal(np.concatenate([brown._unpacked(x, 30_000) for x in chunks.column(1).to_pylist()]), sums)
+
+
+def test_words_are_those_of_bytes(monkeypatch):
+    """Any white space, other letters' capitals, empty and null texts, in parts of any size."""
+    texts = ["", None, " ", "\x1cA\x85 \u00a0B\x0b\x0cc\r\n\td ", "\u00c4\u212a \0 e" * 50, "x", *["Aa bB " * k for k in range(20)]]
+    want = [(t or "").encode().translate(brown.LOWER).split() for t in texts]
+    for size in (1, 40, 10_000):
+        monkeypatch.setattr(brown, "TEXT_BYTES", size)
+        for column in (pa.array(texts), pa.array(["no", *texts], pa.large_string()).slice(1)):
+            parts = list(brown._words(column))
+            assert [w for _, _, words in parts for w in words.to_pylist()] == [w for t in want for w in t]
+            assert [n for _, sizes, _ in parts for n in sizes] == list(map(len, want)) and [i for i, *_ in parts] == [0, *np.cumsum([len(sizes) for _, sizes, _ in parts])][:-1]
+
+
 def test_class_model_sums_to_one():
     """Emissions of a class, with one unseen word, and transitions are distributions."""
     joint = np.array([[0, 3, 1], [2, 5, 4], [2, 3, 0]], float)
