@@ -77,14 +77,14 @@ def _half(segment: str, fp: str) -> str:
     return f"IF({segment} = 0, shiftrightunsigned({fp}, 32), {fp} & 4294967295L)"
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all of the distinct fingerprints fps (fp) which differ in 2 bits or fewer.
+def neighbours(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) and stars (centre, fp): of the distinct fingerprints fps (fp), any two that differ in 2 bits or fewer are a pair or share a star.
 
     Multi-index hashing with two segments of 32 bits: one of them differs in one bit at most, so every
     fingerprint looks up the 33 values of the ball around each of its segments in that segment's table, and
     the complete distance is verified. A bucket of over BUCKET fingerprints isn't paired up: whoever touches
     one gives the 65 centres of its ball of radius 1 instead. Fingerprints at distance 2 or less share a
-    centre, and a centre has 65 neighbours at most, so that the star of each centre connects them exactly.
+    centre, and a centre has 65 neighbours at most.
     """
     table = durable(fps.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("seg")).select("seg", F.expr(_half("seg", "fp")).alias("val"), "fp"))
     crowded = durable(table.groupBy("seg", "val").count().where(F.col("count") > BUCKET).select("seg", "val"))
@@ -97,7 +97,13 @@ def links(fps: DataFrame) -> DataFrame:
     met = durable(probe.hint("merge").join(index, ["seg", "val"]).where("other IS NULL OR (fp < other AND bit_count(fp ^ other) <= 2)").select("fp", "other"))
     near = met.where("other IS NOT NULL").select(F.col("fp").alias("u"), F.col("other").alias("v"))
     centres = met.where("other IS NULL").select("fp").distinct().select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))
-    stars = centres.select("fp", F.expr("fp ^ IF(i = 0, 0L, shiftleft(1L, i - 1))").alias("centre")).groupBy("centre").agg(F.collect_set("fp").alias("all"))
+    return near, centres.select(F.expr("fp ^ IF(i = 0, 0L, shiftleft(1L, i - 1))").alias("centre"), "fp")
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect all of the distinct fingerprints fps (fp) which differ in 2 bits or fewer: neighbours(), whose stars connect them exactly."""
+    near, stars = neighbours(fps)
+    stars = stars.groupBy("centre").agg(F.collect_set("fp").alias("all"))
     stars = stars.where(F.size("all") > 1).select(F.explode("all").alias("u"), F.array_min("all").alias("v")).where("u <> v")
     return near.unionByName(stars).distinct()
 

@@ -112,3 +112,26 @@ def test_near_copies_by_simhash(spark, monkeypatch):
     assert any(0 < x <= 2 for x in apart)
     got = {r.doc_id: r.root for r in nearcopies.near_copies(table(spark, list(enumerate(texts)))).collect()}
     assert [got[2 * i] == got[2 * i + 1] for i in range(len(bases))] == [x <= 2 for x in apart]
+
+
+def test_crowded_buckets_leave_no_pair_out(spark, monkeypatch):
+    """All texts share every segment, and two of them are alike but unlike the bucket's pivots, whichever these are."""
+    monkeypatch.setattr(nearcopies, "_segments", lambda h, sizes: np.tile(np.arange(nearcopies.SEGMENTS, dtype=np.uint64), (len(sizes), 1)))
+    monkeypatch.setattr(nearcopies, "PART", 8)
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(30)]
+    for base in texts[:15]:
+        texts.append(" ".join([*base.split()[:-2], "other", "end"]))
+    got = {r.doc_id: r.root for r in nearcopies.near_copies(table(spark, list(enumerate(texts)))).collect()}
+    want = near_roots_by_hand(texts)
+    groups = lambda of: {frozenset(i for i in range(len(texts)) if of[i] == x) for x in set(of)}
+    assert groups([got[i] for i in range(len(texts))]) == groups(want) and len(set(want)) == 30
+
+
+def test_one_simhash_leaves_no_pair_out(spark, monkeypatch):
+    """Texts of one SimHash are all compared, not only with the least of them."""
+    monkeypatch.setattr(nearcopies, "_segments", lambda h, sizes: np.random.default_rng().integers(0, 2**64, (len(sizes), nearcopies.SEGMENTS), dtype=np.uint64))
+    monkeypatch.setattr(nearcopies, "_majority", lambda h, sizes: np.full(len(sizes), 7, np.uint64))
+    texts = [" ".join([*(f"w{k}x{i}" for i in range(60)), end]) for k in range(8) for end in ("one", "two")]
+    got = {r.doc_id: r.root for r in nearcopies.near_copies(table(spark, list(enumerate(texts)))).collect()}
+    assert len(set(got.values())) == 8 and all(got[i] == got[i + 1] for i in range(0, 16, 2))
