@@ -219,3 +219,14 @@ def test_hot_groups_join(spark):
     groups = rows.where("k <> 'none'").groupBy("k").agg(F.count("*").alias("size"))
     out = common.join_groups(rows, groups, "k", "size", 301)
     assert out.count() == 301 and out.where("size IS NULL").count() == 1 and out.where("k = 'hot' AND size = 200").count() == 200
+
+
+def test_line_dedup_parses_samples_only(spark):
+    """Lines that aren't samples drop out before they are parsed, and texts are neither split once for each line nor sorted."""
+    docs = spark.createDataFrame([(i, f"one two three four {i}\nfive six seven eight nine") for i in range(50)], "doc_id long, text string")
+    keyed = lines._with_key(docs, "doc_id", "text")
+    every = lines.parsed_lines(keyed)
+    places = every.where("doc_id = 7 AND line_no = 1").select(lines._place())
+    assert {(r.doc_id, r.line_no) for r in lines.parsed_lines(keyed, places=places).collect()} == {(7, 1)} and every.count() == 100
+    plan = lines.drop_recurring_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" in plan and all("split(" not in part for part in plan.split("lambdafunction(")[1:])
