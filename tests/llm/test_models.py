@@ -575,3 +575,39 @@ def test_pipeline_on_odd_documents(spark, odd_docs, no_docs, sf_dir):
     single = corpus_pipeline.simhash_near_dedup(spark, odd_docs, sf_dir)
     ids = [r.doc_id for r in single.collect() if r.doc_id is not None]
     assert len(ids) == len(set(ids)) and 3 in ids and 4 not in ids and 5 not in ids
+
+
+def test_flat_bytes():
+    for kind in (pa.binary(), pa.large_binary()):
+        a = pa.array([b"abc", None, b"", b"de", b"f"], kind)
+        for i, j in ((0, 5), (1, 5), (3, 4), (2, 2), (0, 0)):
+            lengths, data = brown._flat(a.slice(i, j - i))
+            want = [x or b"" for x in a.slice(i, j - i).to_pylist()]
+            assert lengths.tolist() == [len(x) for x in want] and data.tobytes() == b"".join(want)
+
+
+def test_words_of_equal_counts_move_alike(spark, monkeypatch):
+    """Rare words that move together, equal ones worked out once, against each by itself."""
+    rng, classes, n = np.random.default_rng(8), 6, 400
+    joint = rng.integers(20, 400, (classes, classes)).astype(float)
+    k, counts = rng.integers(1, classes, n), np.zeros((n, 2 * classes + 1), np.int64)
+    counts[np.arange(n), rng.integers(0, 2 * classes, n)] = rng.integers(1, 3, n)
+    rows = [(str(i).encode(), int(k[i]), b"".join(int((c << 40) + counts[i, c]).to_bytes(8, "little") for c in np.flatnonzero(counts[i]))) for i in range(n)]
+    rows.append((b"unseen", 2, b""))
+    got = {bytes(r.word): r.k for r in brown._exchanged(spark.createDataFrame(rows, "word binary, k long, cells binary").repartition(3), joint).collect()}
+    want = [int(brown._moved(joint, k[i : i + 1], counts[i : i + 1, classes:-1], counts[i : i + 1, :classes], counts[i : i + 1, -1])[0]) for i in range(n)]
+    assert [got[str(i).encode()] for i in range(n)] == want and len(got) == n + 1
+
+
+def test_lists_are_gathered_by_sorting_once(spark, docs, monkeypatch):
+    """The places stay sorted by word for the joins of all rounds, and the session's setting comes back."""
+    plans, init, name = [], brown.Rare.__init__, "spark.sql.execution.useObjectHashAggregateExec"
+
+    def seen(self, tokens):
+        init(self, tokens)
+        plans.append(self.places._jdf.queryExecution().executedPlan().toString() + self.beside._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(brown.Rare, "__init__", seen)
+    before = spark.conf.get(name)
+    assert brown.score(docs.limit(40), brown.held_out(F.col("doc_id"), 5, 1)).count() == 40
+    assert spark.conf.get(name) == before and "SortAggregate" in plans[0] and "ObjectHashAggregate" not in plans[0] and "Sort [near" in plans[0]
