@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.llm import common, entries, exact, lines, simhash, sketch
+from quern.sources import scratch
 from tests.conftest import same_rows
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -144,6 +145,35 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_by_few_and_small_plans(spark, monkeypatch):
+    """Stars take no round, and a round reads its edges no oftener than its join needs, as plans fill the driver's memory."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation"))
+        return scratch.written(df)
+
+    monkeypatch.setattr(common, "durable", seen)
+    stars = spark.createDataFrame([(100 * k + i, 100 * k) for k in range(3) for i in range(1, 30)], "u long, v long")
+    got = {r.node: r.root for r in common.components(stars).collect()}
+    assert got == {100 * k + i: 100 * k for k in range(3) for i in range(30)} and len(plans) == 1
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(int(a), 299) for a in rng.integers(0, 300, 40)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            lo, hi = sorted((find(a), find(b)))
+            root[hi] = lo
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in root} and max(plans) <= 5
+
+
 def test_line_dedup_matches_sql(spark, duck, sf_dir):
     same_rows(entries.QUERIES["op5_template_line_dedup"](spark, sf_dir), duck, entries.ORACLE["op5_template_line_dedup"])
 

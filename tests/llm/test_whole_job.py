@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 import corpus_pipeline
-from quern.llm import nearcopies, simhash
+from quern.llm import common, nearcopies, simhash
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -135,3 +135,18 @@ def test_one_simhash_leaves_no_pair_out(spark, monkeypatch):
     texts = [" ".join([*(f"w{k}x{i}" for i in range(60)), end]) for k in range(8) for end in ("one", "two")]
     got = {r.doc_id: r.root for r in nearcopies.near_copies(table(spark, list(enumerate(texts)))).collect()}
     assert len(set(got.values())) == 8 and all(got[i] == got[i + 1] for i in range(0, 16, 2))
+
+
+def test_near_copies_keeps_groups_together(spark, monkeypatch):
+    """Groups that are found stay as they are where no link is added: each further search would fill the driver with plans."""
+    searches = []
+
+    def components(edges):
+        searches.append(edges.count())
+        return common.components(edges)
+
+    monkeypatch.setattr(nearcopies, "components", components)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*words, f"end{k}"]) for k in range(30)]
+    got = {r.doc_id: r.root for r in nearcopies.near_copies(table(spark, list(enumerate(texts)))).collect()}
+    assert len(got) == 30 and len(set(got.values())) == 1 and len(searches) == 1
