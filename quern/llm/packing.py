@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, texts_of
+from .common import durable, swept, texts_of
 from .wordbpe import WORDS, word_encoder
 
 #: Sources with a queue of their own; of more sources, several share a queue by hash.
@@ -265,6 +265,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, m
     names, number, n_queues = source_queues(docs, source_col)
     if mixture and not number:
         raise ValueError(f"a mixture needs at most {QUEUES} sources")
+    swept(docs.sparkSession)
     chunks = durable(token_chunks(docs, tokenizer, end_id, as_text, number, n_queues, id_col, text_col, source_col))
     sums = durable(chunks.select("part", F.explode(F.arrays_zip("queues", "lengths")).alias("x")).groupBy("part", F.col("x.queues").alias("queue")).agg(F.sum("x.lengths").alias("n")))
     total = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
@@ -293,5 +294,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, m
         if held:
             yield _packed(held[0]["block"], held, deal, window, per_block, id_type)
 
+    swept(docs.sparkSession)
     moved = dealt(chunks.join(earlier, "part"), deal, id_kind).repartition("block").sortWithinPartitions("block", "part", "chunk")
     return moved.mapInArrow(run, f"doc_id {id_kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -12,7 +12,7 @@ import numpy as np
 from .common import LOWER
 
 #: Words that a Python worker remembers the ids of.
-WORDS = 200_000
+WORDS = 400_000
 #: Words are merged in groups of up to so many bytes; longer ones go to the library.
 WIDTHS = (5, 8, 11, 14, 18, 26, 64)
 #: No id, and no pair of ids; multiplier of a pair's hash, and bits that it drops.
@@ -176,13 +176,14 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, width bytes each, little-endian."""
-        if len(self.known) > self.words:
-            # the older half goes; words in use come back at their next miss
-            for w in list(itertools.islice(self.known, self.words // 2)):
-                del self.known[w]
         odd = {i for s in self.special for i, t in enumerate(texts) if s in t}
         split = [[] if i in odd else t.translate(LOWER).split() for i, t in enumerate(texts)]
-        new = set().union(*split).difference(self.known)
+        used = set().union(*split)
+        if len(self.known) > self.words:
+            # the older words go down to three quarters of the bound, but for those in use here
+            for w in list(itertools.islice((w for w in self.known if w not in used), len(self.known) - self.words * 3 // 4)):
+                del self.known[w]
+        new = used.difference(self.known)
         if new:
             self.learn(list(new))
         ids_of = self.known.__getitem__

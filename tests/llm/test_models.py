@@ -505,6 +505,38 @@ def test_words_by_rules_equal_the_library():
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def test_words_in_use_stay_known():
+    """Words that each run of texts has are merged once, however many others come and go meanwhile."""
+    from quern.llm import wordbpe
+
+    encoder, asked = wordbpe.WordEncoder(entries.vocabulary(WORD), words=300), []
+    learn = encoder.learn
+    encoder.learn = lambda new: (asked.extend(new), learn(new))
+    usual = [f"usual{i}x" for i in range(100)]
+    for turn in range(12):
+        texts = [" ".join([*usual, *(f"rare{turn}y{i}" for i in range(100))]).encode()]
+        got = encoder.encode(texts)
+        assert got == encoder.by_library(texts)
+    assert all(asked.count(w.encode()) == 1 for w in usual) and len(encoder.known) <= 300 + 200
+
+
+def test_packing_gives_memory_back_between_steps(spark, monkeypatch):
+    """Executors' heaps are collected before texts are encoded and before blocks are packed."""
+    swept, tasks = packing.swept, []
+
+    def counted(session):
+        spark.sparkContext.setJobGroup("swept", "")
+        swept(session)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("swept")
+        tasks.append(len(jobs))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    monkeypatch.setattr(packing, "swept", counted)
+    df = spark.createDataFrame([(i, "some words " * i, f"s{i}") for i in range(4)], "doc_id long, text string, source string")
+    check_packing(rows_of(packing.pack(df, entries.vocabulary(WORD), window=64)), [(r.doc_id, r.text) for r in df.collect()], 64, entries.vocabulary(WORD))
+    assert tasks == [1, 2]
+
+
 def test_packing_nothing_and_many_sources(spark, no_docs, monkeypatch):
     path = entries.vocabulary(WORD)
     assert packing.pack(no_docs, path).count() == 0
