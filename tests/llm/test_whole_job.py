@@ -150,3 +150,22 @@ def test_near_copies_keeps_groups_together(spark, monkeypatch):
     texts = [" ".join([*words, f"end{k}"]) for k in range(30)]
     got = {r.doc_id: r.root for r in nearcopies.near_copies(table(spark, list(enumerate(texts)))).collect()}
     assert len(got) == 30 and len(set(got.values())) == 1 and len(searches) == 1
+
+
+def test_swept_reaches_the_executors(spark):
+    sc = spark.sparkContext
+    sc.setJobGroup("reached", "")
+    common.swept(spark)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = sc.statusTracker().getJobIdsForGroup("reached")
+    stages = [sc.statusTracker().getStageInfo(i) for j in jobs for i in sc.statusTracker().getJobInfo(j).stageIds]
+    assert [s.numCompletedTasks for s in stages] == [1]
+
+
+def test_stages_start_with_small_heaps(spark, sf_dir, docs, monkeypatch):
+    """What one step's garbage made the executors' heaps grow to isn't left to the next one."""
+    swept = []
+    monkeypatch.setattr(corpus_pipeline, "swept", swept.append)
+    for stage, n in ((corpus_pipeline.quality_classifier, 1), (corpus_pipeline.line_dedup, 2), (corpus_pipeline.simhash_near_dedup, 2)):
+        del swept[:]
+        assert stage(spark, docs.limit(40), sf_dir).columns == docs.columns and len(swept) == n
